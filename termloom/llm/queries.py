@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from termloom.llm import substring_dedup
+from termloom.llm import simhash, substring_dedup
 
-QUERIES = {"op2_substring_dedup": substring_dedup.op2_substring_dedup}
+QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op10_simhash": simhash.op10_simhash,
+}
 ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE}
