@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from termloom.llm import simhash, substring_dedup
+from termloom.llm import simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE}
