@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from termloom.llm import simhash, substring_dedup, token_counts
+from termloom.llm import chat_format, simhash, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op5_chat_format": chat_format.op5_chat_format,
+    "op8_warc": warc.op8_warc,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE}
+ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
+    "op8_warc": warc.ORACLE,
+}
