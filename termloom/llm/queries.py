@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat_format, simhash, substring_dedup, token_counts, warc
+from termloom.llm import chat_format, media, mixing, simhash, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_mixing": mixing.op4_mixing,
     "op5_chat_format": chat_format.op5_chat_format,
     "op8_warc": warc.op8_warc,
+    "op9_media": media.op9_media,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
