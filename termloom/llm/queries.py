@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat_format, media, mixing, simhash, substring_dedup, token_counts, warc
+from termloom.llm import chat_format, language_id, media, mixing, simhash, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
