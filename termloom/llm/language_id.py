@@ -27,7 +27,7 @@ from termloom.llm.common import crc_fold, mix, small_batches, text_chunks
 
 ORDER, MAX_DOCS, BITS, UNKNOWN_LANGUAGE = 5, 2000, 12, "und"
 #: Characters scored at once; nats of slack on calibration, fixed and by the root of the length.
-CHUNK, SLACK, SHORT = 400_000, 0.5, 6.0
+CHUNK, SLACK, SHORT = 400_000, 1.0, 6.0
 _SPACE, _STEPS = 0x20, 1_000_000
 
 
