@@ -6,7 +6,8 @@
    sums over tasks yield the leading right singular vectors (randomised SVD in one
    pass over all passages).
 3. Passages (32 words, every 16) whose latent cosine to a benchmark passage reaches
-   ``cosine`` are candidates.
+   ``cosine`` times what an exact copy keeps of it, filled up with other words, are
+   candidates.
 4. A candidate's surroundings must hold the item as a common subsequence: ``sure`` of
    its words, or ``likely`` of them with the answer (its own column, or the item's
    closing words) as well.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +32,16 @@ from termloom.llm.language_id import HashedRows
 from termloom.session import shuffle_partitions, staged
 
 PASSAGE, STRIDE = 32, 16
-RANK, OVERSAMPLE, COSINE = 96, 8, 0.5
+#: ``COSINE`` is asked of a passage that holds as much else as an item of its length must bear.
+RANK, OVERSAMPLE, COSINE = 256, 8, 0.72
 SURE, LIKELY, ANSWER, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 0.5, 5, 5
 BLOCK_ITEMS, COMMON = 2000, 0.1
 _ROWS, _TERM_BLOCK = 4_000_000, 256
 
 
 def _plain_table() -> np.ndarray:
-    """ASCII letters to lower case, digits and bytes beyond ASCII as they are, the rest to spaces."""
-    out = np.full(256, 0x20, np.uint8)
-    for i in range(256):
-        if i >= 128 or chr(i).isalnum():
-            out[i] = ord(chr(i).lower()) if i < 128 else i
-    return out
+    """Letters, digits and bytes beyond ASCII as they are, the rest to spaces."""
+    return np.array([i if i >= 128 or chr(i).isalnum() else 0x20 for i in range(256)], np.uint8)
 
 
 _PLAIN = _plain_table()
@@ -71,8 +70,8 @@ class Items:
 
 
 def _of(text: str | None) -> np.ndarray:
-    raw = (text or "").encode()
-    return plain_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    _, _, buf, offsets = next(text_chunks(pc.utf8_lower(pa.array([text], pa.string()))))
+    return plain_words(buf, offsets)[0]
 
 
 def make_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
@@ -94,7 +93,7 @@ def _encode(docs: DataFrame, items, kind: str) -> DataFrame:
         wide = np.uint16 if block.size < 65_535 else np.int32
         for batch in batches:
             out = []
-            for _, _, buf, offsets in text_chunks(batch.column("text")):
+            for _, _, buf, offsets in text_chunks(pc.utf8_lower(batch.column("text"))):
                 words, first = plain_words(buf, offsets)
                 ids = block.lookup(words).astype(wide)
                 out += [ids[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
@@ -103,7 +102,7 @@ def _encode(docs: DataFrame, items, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, ids binary")
 
 
-def _laid(column: pa.Array, size: int, most: int = 200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _laid(column: pa.Array, size: int, most: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, identifiers end to end, offsets) for runs of rows of about ``most`` words."""
     wide = np.uint16 if size < 65_535 else np.int32
     raw, i = [np.frombuffer(x.as_buffer(), wide) for x in column], 0
@@ -262,10 +261,12 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
     rows = np.vstack([np.zeros((1, basis.shape[1])), basis * weights[1:, None]]).astype(np.float32)
     of, parts = item_passages(block)
     queries = _unit(np.stack([rows[p].sum(axis=0) for p in parts])) if parts else np.zeros((0, basis.shape[1]), np.float32)
-    shared = spark.sparkContext.broadcast((rows, queries.astype(np.float32), of))
+    aligned = 0.75 * PASSAGE  # words of a long item that some passage holds, however the item lies
+    limits = cosine * np.sqrt(np.minimum([len(p) for p in parts], aligned) / PASSAGE)
+    shared = spark.sparkContext.broadcast((rows, queries.astype(np.float32), of, limits.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, queries, of = shared.value
+        rows, queries, of, limits = shared.value
         block = items.value
         loaded = np.any(rows != 0, axis=1)
         step = max(1, _ROWS // max(1, len(queries)))
@@ -287,7 +288,7 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
                 for a in range(0, len(good), step):
                     at = good[a : a + step]
                     likeness = _unit(passages[at]) @ queries.T
-                    p, q = np.nonzero(likeness >= cosine)
+                    p, q = np.nonzero(likeness >= limits)
                     hits.append(np.stack([at[p], of[q]], axis=1))
                 hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 2), np.int64)
                 for at, k in hits.tolist():
