@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from termloom.functions import patterns as P
 
@@ -116,7 +117,10 @@ def without_fence(reply: Column) -> Column:
     return trimmed(bare)
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition, which Spark has no function for."""
+def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, which Spark has no function for."""
+    return F.pandas_udf(_compose, StringType())(text)
