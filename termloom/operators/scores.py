@@ -9,7 +9,9 @@ from termloom.functions import patterns as P
 from termloom.functions import text as T
 from termloom.operators.containment import containing_pairs
 
-BY_DOC = Window.partitionBy("doc_id")
+
+def by_doc():
+    return Window.partitionBy("doc_id")
 
 
 def text_statistics(candidates: DataFrame, docs: DataFrame, split=T.sentences) -> DataFrame:
@@ -35,7 +37,7 @@ def tfidf_v4(stats: DataFrame) -> DataFrame:
 def tfidf_v3(stats: DataFrame) -> DataFrame:
     """As v4, but a document whose scores are all zero falls back to shares of occurrences."""
     scored = tfidf_v4(stats)
-    total, peak = F.sum("n_found").over(BY_DOC), F.max("tfidf").over(BY_DOC)
+    total, peak = F.sum("n_found").over(by_doc()), F.max("tfidf").over(by_doc())
     share = F.when(total > 0, F.col("n_found") / total).otherwise(0.0)
     return scored.withColumn("tfidf", F.when(peak > 0, F.col("tfidf")).otherwise(share))
 
@@ -69,14 +71,16 @@ def cvalue(nested: DataFrame) -> DataFrame:
     return nested.withColumn("cvalue", F.greatest(F.lit(0.0), F.log2(F.greatest(F.length("term"), F.lit(2))) * inner))
 
 
-def min_max(x: Column, over=BY_DOC) -> Column:
+def min_max(x: Column, over=None) -> Column:
     """To [0, 1]; 1 for a single value, 0.5 where all are alike."""
+    over = over or by_doc()
     lo, hi, n = F.min(x).over(over), F.max(x).over(over), F.count(x).over(over)
     return F.when(n == 1, 1.0).when(hi - lo < 1e-10, 0.5).otherwise((x - lo) / (hi - lo))
 
 
-def to_unit(x: Column, over=BY_DOC) -> Column:
+def to_unit(x: Column, over=None) -> Column:
     """To [0.01, 1]; 0.5 where all are alike."""
+    over = over or by_doc()
     lo, hi = F.min(x).over(over), F.max(x).over(over)
     return F.when(hi == lo, 0.5).otherwise(0.01 + 0.99 * (x - lo) / (hi - lo))
 
@@ -114,7 +118,7 @@ def fuse_rank(scored: DataFrame, ranks: DataFrame) -> DataFrame:
     """Blend 0.4 of ``base`` with 0.6 of the PageRank rescaled to [0.1, 0.9] (0.5 where all
     are alike or none is known): gains ``score``."""
     joined = scored.join(ranks.select("doc_id", "term", "rank"), ["doc_id", "term"], "left")
-    lo, hi = F.min("rank").over(BY_DOC), F.max("rank").over(BY_DOC)
+    lo, hi = F.min("rank").over(by_doc()), F.max("rank").over(by_doc())
     scaled = F.when(hi == lo, 0.5).otherwise(0.1 + 0.8 * (F.col("rank") - lo) / (hi - lo))
     return joined.withColumn("score", 0.4 * F.col("base") + 0.6 * F.coalesce(scaled, F.lit(0.5)))
 
@@ -128,11 +132,11 @@ def multiply_rank(scored: DataFrame, ranks: DataFrame) -> DataFrame:
 def revise_by_words(scored: DataFrame, importance: DataFrame) -> DataFrame:
     """(1 + mean normalised importance of a term's words) * base / largest base: gains
     ``score``. ``importance``: (doc_id, word, importance)."""
-    peak = F.max("importance").over(BY_DOC)
+    peak = F.max("importance").over(by_doc())
     normed = importance.select("doc_id", "word", F.when(peak > 0, F.col("importance") / peak).otherwise(F.col("importance")).alias("imp"))
     words = scored.select("doc_id", "term", F.explode(T.term_words(F.col("term"))).alias("word"))
     mean = words.join(normed, ["doc_id", "word"], "left").groupBy("doc_id", "term").agg(F.avg(F.coalesce("imp", F.lit(0.0))).alias("mean"))
-    top = F.max("base").over(BY_DOC)
+    top = F.max("base").over(by_doc())
     out = scored.join(mean, ["doc_id", "term"], "left")
     return out.withColumn("score", (1 + F.coalesce("mean", F.lit(0.0))) * F.col("base") / F.when(top > 0, top).otherwise(1.0)).drop("mean")
 

@@ -82,6 +82,12 @@ def _rank(edges: DataFrame) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")))
 
 
+def _rank_by(edges: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
+    """The ``k`` most similar edges of each node of each key."""
+    w = Window.partitionBy(*keys, "src").orderBy(F.desc("similarity"), "dst")
+    return edges.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
 def nearest(vectors: DataFrame, k: int = 12, least: float = 0.30) -> DataFrame:
     """(src, dst, similarity, rank): up to ``k`` nearest others of similarity ``least`` or more."""
     return _rank(both_ways(pairs_above(vectors, least))).filter(F.col("rank") <= k)

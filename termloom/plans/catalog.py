@@ -16,11 +16,13 @@ from termloom.operators import candidates as C
 from termloom.operators import clustering as K
 from termloom.operators import containment as J
 from termloom.operators import dictionary as D
+from termloom.operators import generation as L
 from termloom.operators import graphs as G
 from termloom.operators import ranking as R
 from termloom.operators import retrieval as I
 from termloom.operators import scores as S
 from termloom.operators import similarity as V
+from termloom.plans import profiles
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -709,3 +711,34 @@ def cosine_same_label(spark, d):
     v = vectors_of(spark, d)
     w = v.select((F.col("id") - 10).alias("k"), F.col("id").alias("b"), F.col("embedding").alias("f"))
     return v.join(w, F.col("id") == F.col("k")).select(F.col("id").alias("a"), "b", F.round(cosine(F.col("embedding"), F.col("f")), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- whole profiles
+
+
+@query("pipeline_v4")
+def pipeline_v4(spark, d):
+    return profiles.extract_v4(docs_of(spark, d)).select("doc_id", "rank", "term", r6("score"))
+
+
+@query("pipeline_v3")
+def pipeline_v3(spark, d):
+    return profiles.extract_v3(docs_of(spark, d)).select("doc_id", "pick", "term", r6("score"))
+
+
+@query("pipeline_semrerank")
+def pipeline_semrerank(spark, d):
+    return profiles.extract_semrerank(docs_of(spark, d)).select("doc_id", "rank", "term", r6("score"))
+
+
+@query("definitions_stub")
+def definitions_stub(spark, d):
+    """Definitions by the extractive stub: the first line of the context."""
+    docs = docs_of(spark, d)
+    best = R.top_n(final_scores(docs), 5).select("doc_id", "term")
+    context = I.local_contexts(best, docs, 1).select("doc_id", "term", F.col("text").alias("context"))
+    return L.define(context, L.StubClient(extract_definition)).select("doc_id", "term", "definition")
+
+
+def extract_definition(prompt: str) -> str:
+    return prompt.split("Context:\n", 1)[-1].split("\n")[0][:200]
