@@ -130,6 +130,19 @@ def _distinct(cell: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray,
     return pairs // (size + 1), pairs % (size + 1)
 
 
+def group_sums(rows: np.ndarray, which: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[which]`` over groups that begin at ``heads``, adding the k-th member of
+    every group at once (numpy's reduceat is several times slower along rows)."""
+    counts = np.diff(np.append(heads, len(which)))
+    out = rows[which[heads]]
+    left, k = np.flatnonzero(counts > 1), 1
+    while len(left):
+        out[left] += rows[which[heads[left] + k]]
+        k += 1
+        left = left[counts[left] > k]
+    return out
+
+
 def document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many passages each identifier stands, and the number of passages."""
 
@@ -184,12 +197,12 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, rank: int = RANK, seed
                     continue
                 heads = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
                 norm2 = np.add.reduceat(w[term] ** 2, heads)
-                y = np.add.reduceat(scaled[term], heads, axis=0) / norm2[:, None]  # both factors of the norm
+                y = group_sums(scaled, term, heads) / norm2[:, None].astype(np.float32)  # both factors of the norm
                 row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(cell))))
                 order = np.argsort(term, kind="stable")
                 t = term[order]
                 th = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-                total[t[th]] += np.add.reduceat(y[row[order]], th, axis=0) * w[t[th], None]
+                total[t[th]] += group_sums(y, row[order], th) * w[t[th], None]
         for b in range(blocks):
             part = total[1 + b * _TERM_BLOCK : 1 + (b + 1) * _TERM_BLOCK]
             if part.any():
@@ -263,12 +276,14 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
     queries = _unit(np.stack([rows[p].sum(axis=0) for p in parts])) if parts else np.zeros((0, basis.shape[1]), np.float32)
     aligned = 0.75 * PASSAGE  # words of a long item that some passage holds, however the item lies
     limits = cosine * np.sqrt(np.minimum([len(p) for p in parts], aligned) / PASSAGE)
-    shared = spark.sparkContext.broadcast((rows, queries.astype(np.float32), of, limits.astype(np.float32)))
+    queries = (queries / limits[:, None]).astype(np.float32) if parts else queries
+    shared = spark.sparkContext.broadcast((rows, queries, of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, queries, of, limits = shared.value
+        rows, queries, of = shared.value
         block = items.value
         loaded = np.any(rows != 0, axis=1)
+        member = [np.bincount(w, minlength=block.size + 1) > 0 for w in block.words]
         step = max(1, _ROWS // max(1, len(queries)))
         for batch in batches:
             found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
@@ -280,23 +295,28 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
                     continue
                 c = cell[use]
                 heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                sums[c[heads]] = np.add.reduceat(rows[ids[use]], heads, axis=0)
+                sums[c[heads]] = group_sums(rows, ids[use], heads)
                 text = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 passages = sums[:-1] + sums[1:]
-                good = np.flatnonzero((text[1:] == text[:-1]) & passages.any(axis=1))
+                length = np.sqrt(np.einsum("ij,ij->i", passages, passages))
+                good = np.flatnonzero((text[1:] == text[:-1]) & (length > 0))
                 hits = []
                 for a in range(0, len(good), step):
                     at = good[a : a + step]
-                    likeness = _unit(passages[at]) @ queries.T
-                    p, q = np.nonzero(likeness >= limits)
-                    hits.append(np.stack([at[p], of[q]], axis=1))
+                    likeness = passages[at] @ queries.T  # queries are divided by their limits
+                    some = np.flatnonzero(likeness.max(axis=1) >= length[at])
+                    p, q = np.nonzero(likeness[some] >= length[at[some], None])
+                    hits.append(np.stack([at[some[p]], of[q]], axis=1))
                 hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 2), np.int64)
                 for at, k in hits.tolist():
                     t = int(text[at])
                     item = block.words[k]
                     here = int(offsets[t]) + (at - int(first[t])) * STRIDE
                     lo, hi = max(int(offsets[t]), here - len(item)), min(int(offsets[t + 1]), here + PASSAGE + len(item))
-                    share = verdict(item, block.answers[k], ids[lo:hi], sure, likely)
+                    near = ids[lo:hi]
+                    if np.count_nonzero(member[k][near]) < min(sure, likely) * len(item):
+                        continue  # too few of its words in any order
+                    share = verdict(item, block.answers[k], near, sure, likely)
                     if share is not None:
                         mine = found[i + t]
                         mine[block.ids[k]] = max(share, mine.get(block.ids[k], 0.0))
