@@ -50,15 +50,15 @@ def _with_headings(counted: DataFrame, headings: DataFrame) -> DataFrame:
     return flagged.select("doc_id", "term", (F.coalesce("freq", F.lit(1)) + F.when(F.col("heading"), 2).otherwise(0)).alias("freq"), F.coalesce("heading", F.lit(False)).alias("heading"))
 
 
-def candidates_v4(docs: DataFrame, extra: DataFrame | None = None, low: int = MIN_LENGTH, high: int = MAX_LENGTH, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
-    """Candidates of the v4 profile. ``extra``: further counts (doc_id, term, freq), such
+def candidates_v4(docs: DataFrame, extra: DataFrame | None = None, low: int = MIN_LENGTH, high: int = MAX_LENGTH, min_frequency: int = MIN_FREQUENCY, headings: bool = True) -> DataFrame:
+    """Candidates of the v4 profile, with or without the bonus of heading terms. ``extra``: further counts (doc_id, term, freq), such
     as those of ``noun_phrases`` and ``noun_ngrams``; counts of one term add up."""
     term = F.col("term")
     usable = F.length(term).between(low, high) & ~term.rlike(r"(?U)^\d+$") & ~is_garbage(term) & ~is_common_noun(term)
     counted = surfaces(docs, P.V4_PATTERNS).filter(usable).groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
     if extra is not None:
         counted = counted.unionByName(extra.select("doc_id", "term", "freq")).groupBy("doc_id", "term").agg(F.sum("freq").alias("freq"))
-    out = _with_headings(counted, heading_terms_v4(docs))
+    out = _with_headings(counted, heading_terms_v4(docs)) if headings else counted.withColumn("heading", F.lit(False))
     keep = (F.col("freq") >= min_frequency) | is_model_number(term) | ((F.col("freq") == 1) & F.col("heading"))
     return out.filter(~is_garbage(term) & keep).select("doc_id", "term", F.col("freq").cast("long").alias("freq"))
 
