@@ -232,10 +232,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     a smaller one)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"), (usable if usable is not None else F.lit(True)).alias("usable")).filter("usable AND label IS NOT NULL")
-    sizes = rows.groupBy("label").count()
+    sizes = rows.groupBy("label").count().collect()  # one row for each language
+    if not sizes:
+        return None
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(_STEPS))
-    rate = F.col("rate")
-    chosen = rows.join(sizes.select("label", F.least(F.lit(1.0), max_docs / F.col("count")).alias("rate")), "label").filter(draw < rate * _STEPS)
+    limit = F.create_map(*[F.lit(x) for label, n in sizes for x in (label, int(_STEPS * min(1.0, max_docs / n)))])
+    chosen = rows.filter(draw < limit[F.col("label")])
     calibrating = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +252,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     got = wide.toArrow()  # bounded by the sample
     if not got.num_rows:
         return None
-    label = np.array(got.column("label").to_pylist())
+    label = np.array(got.column("label").to_pylist(), object)
     high, low, n = (got.column(c).to_numpy() for c in ("high", "low", "n"))
     mask = (1 << 21) - 1
     parts = [high >> 21, high & mask, low >> 42, low >> 21 & mask, low & mask]
@@ -274,7 +276,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["label", "ce", "n"])
 
     seen_ce = chosen.filter(calibrating).select("label", "text").mapInArrow(cross, "label string, ce double, n long").toArrow()
-    names, ce, length = np.array(seen_ce.column("label").to_pylist()), seen_ce.column("ce").to_numpy(), seen_ce.column("n").to_numpy()
+    names, ce, length = np.array(seen_ce.column("label").to_pylist(), object), seen_ce.column("ce").to_numpy(), seen_ce.column("n").to_numpy()
     model.limits = np.array([calibrate(ce[names == name], length[names == name]) for name in model.languages])
     return model
 
@@ -294,12 +296,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     A text that is null or has no letter is ``und``, score 0 and rejected; without a
     model every text is. ``score`` (0 to 1) compares the best language with the others.
-    Repeated rows are judged alike. Columns of ``docs`` with the new names are an error.
+    Repeated rows are judged alike. Columns of ``docs`` with the new names give way to them.
     """
     small_batches(docs.sparkSession)
-    taken = {"lang_pred", "score", "rejected"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} exist already")
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
