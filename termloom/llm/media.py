@@ -45,11 +45,9 @@ def to_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def rgb_tensors(images: DataFrame, image_col: str = "image") -> DataFrame:
     """Decode a column of progressive JPEG files: all columns of ``images`` and ``height``,
-    ``width``, ``rgb`` (full-resolution samples, row by row). A null image gives nulls."""
-    names = [f.name for f in images.schema.fields]
-    taken = {"height", "width", "rgb"} & set(names)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} exist already")
+    ``width``, ``rgb`` (full-resolution samples, row by row), which replace columns of those
+    names. A null image gives nulls; a file that is no progressive JPEG is an error."""
+    images = images.drop("height", "width", "rgb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

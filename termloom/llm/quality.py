@@ -210,12 +210,10 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     Null text counts as empty, which is scored like any other; without a model every
     score is the default prior. Repeated rows are scored alike. Columns of ``docs`` with
-    the new names are an error.
+    the new names give way to them.
     """
     small_batches(docs.sparkSession)
-    taken = {"score", "predicted"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} exist already")
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
