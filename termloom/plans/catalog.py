@@ -15,6 +15,7 @@ from termloom.functions.vectors import cosine
 from termloom.operators import candidates as C
 from termloom.operators import clustering as K
 from termloom.operators import containment as J
+from termloom.operators import designed as N
 from termloom.operators import dictionary as D
 from termloom.operators import generation as L
 from termloom.operators import graphs as G
@@ -713,6 +714,141 @@ def cosine_same_label(spark, d):
     return v.join(w, F.col("id") == F.col("k")).select(F.col("id").alias("a"), "b", F.round(cosine(F.col("embedding"), F.col("f")), 6).alias("similarity"))
 
 
+# ---------------------------------------------------------------- further operators
+
+
+@query("fused_scores", f"WITH {_SCORED}, r AS (SELECT *, CASE WHEN freq % 3 = 0 THEN NULL ELSE freq::DOUBLE END AS rank FROM based), q AS (SELECT *, min(rank) OVER (PARTITION BY doc_id) AS lo, max(rank) OVER (PARTITION BY doc_id) AS hi FROM r) SELECT doc_id, term, round(0.4::DOUBLE * base + 0.6::DOUBLE * coalesce(CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE 0.1::DOUBLE + 0.8::DOUBLE * (rank - lo) / (hi - lo) END, 0.5::DOUBLE), 6) AS fused, round(base * coalesce(rank, 0.5::DOUBLE), 6) AS product FROM q")
+def fused_scores(spark, d):
+    x = scored_v4(docs_of(spark, d))
+    ranks = x.filter("freq % 3 <> 0").select("doc_id", "term", F.col("freq").cast("double").alias("rank"))
+    fused = S.fuse_rank(x, ranks).select("doc_id", "term", r6("score", "fused"))
+    return fused.join(S.multiply_rank(x, ranks).select("doc_id", "term", r6("score", "product")), ["doc_id", "term"])
+
+
+_TOKENS = "tok AS (SELECT doc_id, 0 AS sent_no, unnest(range(len(w))) AS pos, unnest(w) AS surface FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)), tagged AS (SELECT *, CASE WHEN length(surface) > 5 THEN '名詞' ELSE '助詞' END AS pos_tag FROM tok)"
+_RUNS = f"{_TOKENS}, br AS (SELECT *, sum(CASE WHEN pos_tag = '名詞' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM tagged), runs AS (SELECT doc_id, run, list(surface ORDER BY pos) AS words, max(pos) AS last FROM br WHERE pos_tag = '名詞' GROUP BY ALL)"
+
+
+def _tokens(spark, d):
+    words = docs_of(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "surface"))
+    return words.withColumn("sent_no", F.lit(0)).withColumn("pos_tag", F.when(F.length("surface") > 5, "名詞").otherwise("助詞"))
+
+
+@query("noun_phrases", f"WITH {_RUNS} SELECT doc_id, term, count(*) AS freq FROM (SELECT doc_id, array_to_string(words, '') AS term FROM runs) WHERE length(term) BETWEEN 2 AND 15 GROUP BY ALL")
+def noun_phrases(spark, d):
+    return C.noun_phrases(_tokens(spark, d))
+
+
+@query("noun_phrases_v3", f"""WITH {_RUNS}, e AS (SELECT doc_id, max(pos) AS fin FROM tok GROUP BY doc_id),
+t AS (SELECT doc_id, array_to_string(words, '') AS term FROM runs UNION ALL SELECT doc_id, array_to_string(words[i:], '') FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM runs JOIN e USING (doc_id) WHERE len(words) > 2 AND last < fin))
+SELECT doc_id, term, count(*) AS freq FROM t WHERE length(term) BETWEEN 2 AND 15 GROUP BY ALL""")
+def noun_phrases_v3(spark, d):
+    return C.noun_phrases_v3(_tokens(spark, d))
+
+
+@query("noun_ngrams", f"WITH {_RUNS}, n AS (SELECT doc_id, words, unnest(range(2, least(4, len(words)) + 1)) AS k FROM runs WHERE len(words) >= 2), w AS (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM n) SELECT doc_id, term, count(*) AS freq FROM (SELECT doc_id, array_to_string(words[i:i + k - 1], '') AS term FROM w) WHERE length(term) BETWEEN 2 AND 30 GROUP BY ALL")
+def noun_ngrams(spark, d):
+    return C.noun_ngrams(_tokens(spark, d), high=30)
+
+
+@query("seeds_semrerank", f"""WITH {_FLAG.replace('AS score FROM based', 'AS old, freq::DOUBLE AS score FROM based')}, top AS (SELECT * FROM (SELECT doc_id, term, score, {_RANKED} AS rank FROM bonus) WHERE rank <= 100),
+d1 AS (SELECT *, lag(score) OVER (PARTITION BY doc_id ORDER BY rank) - score AS d FROM top), d2 AS (SELECT *, abs(d - lag(d) OVER (PARTITION BY doc_id ORDER BY rank)) AS e FROM d1),
+bend AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 3 THEN count(*) ELSE arg_max(rank, row(e, -rank)) FILTER (e IS NOT NULL) - 1 END AS elbow FROM d2 GROUP BY doc_id),
+cut AS (SELECT doc_id, CASE WHEN n > 3 THEN greatest(5, least(elbow, 70, n)) ELSE greatest(5, n // 2) END AS c FROM bend)
+SELECT doc_id, term, rank FROM top JOIN cut USING (doc_id) WHERE rank <= c""")
+def seeds_semrerank(spark, d):
+    return R.seeds_semrerank(scored_v4(docs_of(spark, d)).withColumn("freq", F.col("freq").cast("double"))).select("doc_id", "term", "rank")
+
+
+@query("position_scores", f"""WITH {_V4}, top AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 5),
+p AS (SELECT doc_id, term, length(text) AS n, string_split(text, term) AS x FROM top JOIN documents USING (doc_id)),
+q AS (SELECT doc_id, term, n, list_transform(range(1, len(x)), lambda i: CAST(list_sum(list_transform(x[1:i], lambda y: length(y))) + (i - 1) * length(term) AS BIGINT)) AS ps FROM p)
+SELECT doc_id, term, len(ps) AS n_found, round(CASE WHEN len(ps) <= 1 THEN 0.5::DOUBLE ELSE 1 / (1 + list_aggregate(ps, 'stddev_pop') / (n::DOUBLE / (len(ps) + 1))) END, 6) AS distribution, round(1 - 0.5::DOUBLE * ps[1] / n, 6) AS position FROM q WHERE len(ps) > 0""")
+def position_scores(spark, d):
+    docs = docs_of(spark, d)
+    x = R.top_n(C.candidates_v4(docs), 5, "freq").select("doc_id", "term").join(docs, "doc_id").withColumn("at", N.positions(F.col("text"), F.col("term"))).filter(F.size("at") > 0)
+    return x.select("doc_id", "term", F.size("at").cast("long").alias("n_found"), F.round(N.distribution_score(F.col("at"), F.length("text")), 6).alias("distribution"), F.round(N.position_score(F.col("at")[0], F.length("text")), 6).alias("position"))
+
+
+@query("nc_value", f"""WITH {_TOKENS}, {_SCORED}, nx AS (SELECT doc_id, surface, lag(surface) OVER w AS p, lead(surface) OVER w AS n FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+near AS (SELECT doc_id, surface, p AS near FROM nx WHERE p IS NOT NULL UNION SELECT doc_id, surface, n FROM nx WHERE n IS NOT NULL),
+fr AS (SELECT doc_id, surface AS near, count(*) AS f FROM tok GROUP BY ALL), wt AS (SELECT doc_id, surface AS term, sum(f) AS f FROM near JOIN fr USING (doc_id, near) GROUP BY ALL)
+SELECT b.doc_id, b.term, round(0.8::DOUBLE * cvalue + 0.2::DOUBLE * coalesce(f, 0), 6) AS ncvalue FROM based b LEFT JOIN wt ON b.doc_id = wt.doc_id AND b.term = wt.term""")
+def nc_value(spark, d):
+    return N.nc_value(scored_v4(docs_of(spark, d)), _tokens(spark, d)).select("doc_id", "term", r6("ncvalue"))
+
+
+@query("text_chunks", "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(1, length(text) - 200), 1800)) AS i FROM documents) SELECT doc_id, i // 1800 AS chunk, md5(text[i + 1:i + 2000]) AS digest FROM c")
+def text_chunks(spark, d):
+    return docs_of(spark, d).select("doc_id", F.posexplode(N.chunks(F.col("text"))).alias("chunk", "piece")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5(F.col("piece").cast("binary")).alias("digest"))
+
+
+_CL = "cl AS (SELECT vec_id AS cluster_id, CASE WHEN vec_id < 5 THEN NULL ELSE vec_id % 5 END AS parent_id, CASE WHEN vec_id < 5 THEN 0 ELSE 1 END AS level, 'c' || vec_id AS category FROM embeddings WHERE vec_id < 50), ct AS (SELECT DISTINCT p_size % 50 AS cluster_id, p_name AS term FROM part)"
+
+
+def _clusters(spark, d):
+    v = table(spark, d, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("cluster_id"))
+    top = F.col("cluster_id") < 5
+    clusters = v.select("cluster_id", F.when(~top, F.pmod("cluster_id", F.lit(5))).alias("parent_id"), F.when(top, 0).otherwise(1).alias("level"), F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("category"))
+    terms = table(spark, d, "part").select((F.col("p_size") % 50).cast("long").alias("cluster_id"), F.col("p_name").alias("term")).distinct()
+    return clusters, terms
+
+
+@query("cluster_sizes", f"WITH {_CL}, n AS (SELECT c.cluster_id, c.parent_id, count(t.term) AS n FROM cl c LEFT JOIN ct t ON c.cluster_id = t.cluster_id GROUP BY ALL), u AS (SELECT cluster_id AS id, n FROM n UNION ALL SELECT parent_id, n FROM n WHERE parent_id IS NOT NULL) SELECT id AS cluster_id, CAST(sum(n) AS BIGINT) AS size FROM u GROUP BY id")
+def cluster_sizes(spark, d):
+    return K.sizes_with_children(*_clusters(spark, d))
+
+
+@query("first_cluster", f"WITH {_CL} SELECT term, cluster_id, category FROM (SELECT t.term, c.cluster_id, c.category, row_number() OVER (PARTITION BY t.term ORDER BY level, c.cluster_id) AS r FROM ct t JOIN cl c USING (cluster_id)) WHERE r = 1")
+def first_cluster(spark, d):
+    clusters, terms = _clusters(spark, d)
+    return K.first_cluster_of_terms(terms, clusters)
+
+
+@query("cluster_parents", f"WITH {_CL}, r AS (SELECT cluster_id, arg_min(term, row(length(term), term)) AS representative FROM ct GROUP BY cluster_id), k AS (SELECT c.parent_id AS parent, r.* FROM cl c JOIN r USING (cluster_id) WHERE c.parent_id IS NOT NULL) SELECT parent, arg_min(representative, row(length(representative), representative)) AS representative, list_sort(list(DISTINCT cluster_id)) AS children, arg_min(representative, row(length(representative), representative)) || '系' AS name FROM k GROUP BY parent HAVING count(DISTINCT cluster_id) >= 2")
+def cluster_parents(spark, d):
+    clusters, terms = _clusters(spark, d)
+    tree = clusters.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("parent"), F.col("cluster_id").alias("child"), F.col("cluster_id").alias("child_label"))
+    return K.parents_from_tree(tree, K.representatives(terms).select("cluster_id", "representative"))
+
+
+@query("interface_metrics", f"WITH {_CL}, t AS (SELECT p_partkey, p_retailprice AS score, p_name AS term, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS definition FROM part), b AS (SELECT avg(score) AS m FROM (SELECT score FROM t ORDER BY score DESC, term LIMIT 50)), c AS (SELECT count(DISTINCT cluster_id) AS clusters, count(*) AS clustered FROM ct) SELECT count(*) AS total, round(any_value(m), 6) AS mean_top50, any_value(clusters) AS clusters, any_value(clustered) AS clustered, count(*) FILTER (definition <> '') - any_value(clustered) AS noise FROM t, b, c")
+def interface_metrics(spark, d):
+    t = table(spark, d, "part").select(F.col("p_retailprice").alias("score"), F.col("p_name").alias("term"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_type")).alias("definition"))
+    return D.interface_metrics(t, _clusters(spark, d)[1]).withColumn("mean_top50", F.round("mean_top50", 6))
+
+
+@query("vector_context", f"WITH {_VEC} SELECT query_id, string_agg(doc_id::VARCHAR, chr(10) || chr(10) ORDER BY rank) AS context FROM vs WHERE rank <= 5 GROUP BY query_id")
+def vector_context(spark, d):
+    return I.joined_contexts(_vector_hits(spark, d).withColumn("text", F.col("doc_id").cast("string")))
+
+
+@query("validated_terms", f"WITH {_V4}, a AS (SELECT p_name AS headword, p_type AS definition, p_partkey AS ord FROM part UNION ALL SELECT term, 'd' || doc_id, doc_id FROM cand WHERE freq > 20), f AS (SELECT headword AS term, arg_min(definition, row(ord, definition)) AS definition FROM a GROUP BY headword) SELECT doc_id, c.term, f.definition FROM cand c JOIN f ON c.term = f.term")
+def validated_terms(spark, d):
+    cand = C.candidates_v4(docs_of(spark, d))
+    part = table(spark, d, "part").select(F.col("p_name").alias("headword"), F.col("p_type").alias("definition"), F.col("p_partkey").cast("long").alias("ord"))
+    own = cand.filter("freq > 20").select(F.col("term").alias("headword"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("definition"), F.col("doc_id").alias("ord"))
+    answers = part.unionByName(own).withColumn("synonyms", F.array().cast("array<string>")).withColumn("ord", F.struct("ord", "definition"))
+    return D.validated(cand, answers).select("doc_id", "term", "definition")
+
+
+_SENT_GRAPH = """s AS (SELECT item_id AS doc_id, unnest(range(len(x)))::INT AS sent_no, unnest(x) AS t FROM (SELECT item_id, list_filter(string_split_regex(text, '[。！？\\n]+'), lambda z: regexp_matches(z, '\\S')) AS x FROM benchmark)),
+w AS (SELECT DISTINCT doc_id, sent_no, word FROM (SELECT doc_id, sent_no, unnest(regexp_extract_all(t, '[A-Za-z0-9]+')) AS word FROM s) WHERE length(word) > 3),
+rel AS (SELECT a.doc_id, a.sent_no, a.word AS src, b.word AS dst, 1 / (1.0::DOUBLE + abs(length(a.word) - length(b.word))) AS similarity FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a.word <> b.word),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_no, src ORDER BY similarity DESC, dst) AS r, count(*) OVER (PARTITION BY doc_id, sent_no, src) AS m FROM rel)
+SELECT DISTINCT doc_id, sent_no, least(src, dst) AS a, greatest(src, dst) AS b, round(similarity, 6) AS weight FROM c WHERE r <= greatest(1, floor(m * 0.15::DOUBLE))"""
+
+
+@query("sentence_graphs", f"WITH {_SENT_GRAPH}")
+def sentence_graphs(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(T.sentences_all(F.col("text"))).alias("sent_no", "t"))
+    words = b.select("doc_id", "sent_no", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("word")).filter(F.length("word") > 3)
+    src, dst = (words.select("doc_id", "sent_no", F.col("word").alias(c)) for c in ("src", "dst"))
+    together = src.join(dst, ["doc_id", "sent_no"]).filter("src <> dst").select("src", "dst").distinct()
+    related = together.withColumn("similarity", 1 / (1.0 + F.abs(F.length("src") - F.length("dst"))))
+    return G.sentence_graphs(words, related).select("doc_id", "sent_no", "a", "b", r6("weight"))
+
+
 # ---------------------------------------------------------------- whole profiles
 
 
