@@ -126,13 +126,14 @@ def prefiltered(scored: DataFrame, fold=T.nfkc) -> DataFrame:
     """Drop stopwords, single characters, numbers and years; a term of up to three
     characters inside a longer survivor keeps 0.3 of its score. (doc_id, term, score) gains
     ``contained``. ``fold`` normalises the term for the tests."""
-    from termloom.operators.containment import containing_pairs
+    from termloom.operators.containment import over_longer
 
     n = fold(F.col("term"))
     year = (F.length(n) == 4) & n.rlike(r"(?U)^(?:19|20)\d\d$")
     left = scored.filter(~is_stopword(n) & (F.length(n) != 1) & ~n.rlike(r"(?U)^\d+$") & ~year)
-    inside = containing_pairs(left).filter(F.length("term") <= 3).select("doc_id", "term").distinct().withColumn("contained", F.lit(True))
-    out = left.join(inside, ["doc_id", "term"], "left").withColumn("contained", F.coalesce("contained", F.lit(False)))
+    inside = over_longer(left.select("doc_id", "term"), F.first(F.lit(True)).alias("inside"))
+    flag = (F.length("term") <= 3) & F.coalesce("inside", F.lit(False))
+    out = left.join(inside, ["doc_id", "term"], "left").withColumn("contained", flag).drop("inside")
     return out.withColumn("score", F.col("score") * F.when(F.col("contained"), 0.3).otherwise(1.0))
 
 

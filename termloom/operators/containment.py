@@ -13,17 +13,25 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 
 
-def proper_substrings(terms: DataFrame, shortest: int = 1) -> DataFrame:
-    """(doc_id, longer, term) for every distinct proper substring of every term."""
+def proper_substrings(terms: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, longer, carried…, term) for every distinct proper substring of every term."""
     n = F.length("longer")
     spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(shortest), n - 1),
+            F.sequence(F.lit(1), n - 1),
             lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("longer"), i, size)),
         )
     )
-    rows = terms.select("doc_id", F.col("term").alias("longer")).filter(n > shortest)
-    return rows.select("doc_id", "longer", F.explode(F.array_distinct(spans)).alias("term"))
+    rows = terms.select("doc_id", F.col("term").alias("longer"), *carried).filter(n > 1)
+    return rows.select("doc_id", "longer", *carried, F.explode(F.array_distinct(spans)).alias("term"))
+
+
+def over_longer(terms: DataFrame, *aggregates) -> DataFrame:
+    """(doc_id, term, aggregates…) over the longer terms around each substring, summed up
+    before the shuffle; substrings that are no terms are left for a join to drop. A
+    term stands once in its document. ``aggregates`` may use the columns of ``terms``."""
+    carried = [c for c in terms.columns if c not in ("doc_id", "term")]
+    return proper_substrings(terms, *carried).groupBy("doc_id", "term").agg(*aggregates)
 
 
 def containing_pairs(terms: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import patterns as P
 from termloom.functions import text as T
-from termloom.operators.containment import containing_pairs
+from termloom.operators.containment import over_longer
 
 
 def by_doc():
@@ -51,8 +51,8 @@ def tfidf_semrerank(stats: DataFrame) -> DataFrame:
 def nesting(candidates: DataFrame) -> DataFrame:
     """Candidates with ``n_longer`` and ``f_longer``: number and summed frequency of the
     longer candidates around each."""
-    freq = candidates.select("doc_id", F.col("term").alias("longer"), F.col("freq").alias("f"))
-    around = containing_pairs(candidates).join(freq, ["doc_id", "longer"]).groupBy("doc_id", "term").agg(F.count("*").alias("n_longer"), F.sum("f").alias("f_longer"))
+    rows = candidates.select("doc_id", "term", F.col("freq").alias("f"))
+    around = over_longer(rows, F.count("*").alias("n_longer"), F.sum("f").alias("f_longer"))
     out = candidates.join(around, ["doc_id", "term"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_longer", "f_longer")})
 

@@ -24,6 +24,7 @@ from termloom.operators import retrieval as I
 from termloom.operators import scores as S
 from termloom.operators import similarity as V
 from termloom.plans import profiles
+from termloom.session import staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -121,7 +122,8 @@ _RANKED = "row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term)"
 
 def scored_v4(docs: DataFrame) -> DataFrame:
     """(doc_id, term, freq, tfidf, cvalue, base) of the v4 profile."""
-    cand = C.candidates_v4(docs)
+    # several branches read the candidates: written once, they are not extracted again for each
+    cand = staged(C.candidates_v4(docs), "candidates")
     stats = S.tfidf_v4(S.text_statistics(cand, docs)).select("doc_id", "term", "tfidf")
     return S.base_v4(S.cvalue_v4(S.nesting(cand)).join(stats, ["doc_id", "term"])).select("doc_id", "term", "freq", "tfidf", "cvalue", "base")
 
@@ -130,10 +132,14 @@ def final_scores(docs: DataFrame) -> DataFrame:
     return S.complexity_bonus(scored_v4(docs)).withColumnRenamed("base", "score")
 
 
+def kept_terms(docs: DataFrame) -> DataFrame:
+    """Final scores without terms that a longer one outdoes."""
+    return R.drop_substrings(staged(final_scores(docs), "scored"), 0.3)
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Ten best terms of every document, without terms that a longer one outdoes."""
-    kept = R.drop_substrings(final_scores(docs_of(spark, sf_dir)), 0.3)
-    return R.top_n(kept, 10).select("doc_id", "rank", "term", r6("score"))
+    return R.top_n(kept_terms(docs_of(spark, sf_dir)), 10).select("doc_id", "rank", "term", r6("score"))
 
 
 _FLAG = f"{_SCORED}, bonus AS (SELECT *, base * (1 + 0.3::DOUBLE * greatest(0, {_COMPONENTS} - 1)) AS score FROM based)"
@@ -309,13 +315,13 @@ def complexity_bonus(spark, d):
 
 @query("substring_dedup", f"WITH {_KEPT} SELECT doc_id, term, round(score, 6) AS score FROM kept")
 def substring_dedup(spark, d):
-    return R.drop_substrings(final_scores(docs_of(spark, d)), 0.3).select("doc_id", "term", r6("score"))
+    return kept_terms(docs_of(spark, d)).select("doc_id", "term", r6("score"))
 
 
 @query("prefiltered_terms", f"""WITH {_FLAG}, ok AS (SELECT * FROM bonus WHERE term NOT IN ({', '.join(f"'{s}'" for s in P.STOPWORDS)}) AND length(term) <> 1 AND NOT regexp_matches(term, '^[0-9]+$') AND NOT regexp_matches(term, '^(19|20)[0-9][0-9]$'))
 SELECT doc_id, term, c AS contained, round(score * CASE WHEN c THEN 0.3::DOUBLE ELSE 1 END, 6) AS score FROM (SELECT *, length(term) <= 3 AND EXISTS (SELECT 1 FROM ok b WHERE a.doc_id = b.doc_id AND a.term <> b.term AND contains(b.term, a.term)) AS c FROM ok a)""")
 def prefiltered_terms(spark, d):
-    return C.prefiltered(final_scores(docs_of(spark, d))).select("doc_id", "term", "contained", r6("score"))
+    return C.prefiltered(staged(final_scores(docs_of(spark, d)), "scored")).select("doc_id", "term", "contained", r6("score"))
 
 
 @query("cooccurrence", f"""WITH {_V4}, {_stats_sql(_WHOLE_A).split('stats AS')[0].rstrip().rstrip(',')},
@@ -387,7 +393,7 @@ def definition_budget(spark, d):
 
 @query("display_table", f"WITH {_KEPT} SELECT doc_id, rank, term, printf('%.3f', score) AS score FROM (SELECT doc_id, {_RANKED} AS rank, term, score FROM kept) WHERE rank <= 50")
 def display_table(spark, d):
-    return R.numbered(R.drop_substrings(final_scores(docs_of(spark, d)), 0.3))
+    return R.numbered(kept_terms(docs_of(spark, d)))
 
 
 _CTX = """, top AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 3),
