@@ -102,7 +102,8 @@ def settle_blocks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = _groups(one["anchor"])
     gid = np.cumsum(group) - 1
     many = np.bincount(gid, minlength=gid[-1] + 1 if len(gid) else 0) > 1
-    np.logical_or.at(many, gid, one["many"] > 0)
+    # any row of the anchor may carry the mark, not only the first of its kind
+    np.logical_or.at(many, np.cumsum(_groups(x["anchor"])) - 1, x["many"] > 0)
     one["many"] = many[gid]
     one = one[np.lexsort((one["start"], one["doc"], gid))]
     return known, one
