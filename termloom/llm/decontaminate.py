@@ -7,7 +7,8 @@
    pass over all passages).
 3. Passages (32 words, every 16) whose latent cosine to a benchmark passage reaches
    ``cosine`` times what an exact copy keeps of it, filled up with other words, are
-   candidates.
+   candidates. So is every passage near which enough of an item's rarer words stand that
+   the check below might accept it: the cosine alone loses copies with replaced words.
 4. A candidate's surroundings must hold the item as a common subsequence: ``sure`` of
    its words, or ``likely`` of them with the answer (its own column, or the item's
    closing words) as well.
@@ -37,6 +38,8 @@ RANK, OVERSAMPLE, COSINE = 256, 8, 0.72
 SURE, LIKELY, ANSWER, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 0.5, 5, 5
 BLOCK_ITEMS, COMMON = 2000, 0.1
 _ROWS, _TERM_BLOCK = 4_000_000, 256
+#: Shares of an item that must be left of its rarest words when all it may miss are among them.
+_LEFT = (0.1, 0.2, 0.35, 0.6)
 
 
 def _plain_table() -> np.ndarray:
@@ -267,6 +270,42 @@ def verdict(item: np.ndarray, answer: np.ndarray, near: np.ndarray, sure: float,
     return None
 
 
+def rare_words(items: Items, weights: np.ndarray, least: float, left: float) -> tuple[np.ndarray, np.ndarray]:
+    """(identifiers x items) marks of each item's rarest words, and how many of them any text
+    that holds ``least`` of the item has: all but as many as it may miss."""
+    marks, need = np.zeros((items.size + 1, len(items.words)), np.uint8), np.zeros(len(items.words), np.int64)
+    for k, w in enumerate(items.words):
+        miss = len(w) - int(np.ceil(least * len(w) - 1e-9))
+        words, counts = np.unique(w, return_counts=True)
+        order = np.argsort(-weights[words], kind="stable")
+        upto = int(np.searchsorted(np.cumsum(counts[order]), min(len(w), miss + max(1, left * len(w))))) + 1
+        marks[words[order[:upto]], k] = 1
+        need[k] = counts[order[:upto]].sum() - miss
+    return marks, need
+
+
+def possible(counts: np.ndarray, needs: list[np.ndarray], lengths: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """(cell, item) wherever the surroundings of a passage hold the words needed. ``counts``
+    has for each of ``needs`` the words of every cell and item, side by side."""
+    sums = np.zeros((len(counts) + 1, counts.shape[1]), np.uint16)  # wraps round; the differences are small
+    np.cumsum(counts, axis=0, dtype=np.uint16, out=sums[1:])
+    at = np.flatnonzero(text[1:] == text[:-1])
+    start, stop = first[text[at]], first[text[at] + 1]
+    reach, out = -(-lengths // STRIDE), [np.zeros((0, 2), np.int64)]
+    for r in np.unique(reach):
+        k = np.flatnonzero(reach == r)
+        lo, hi = np.maximum(start, at - r), np.minimum(stop, at + PASSAGE // STRIDE + r)
+        block = sums[:, k]
+        p, q = np.nonzero(block[hi] - block[lo] >= needs[0][k].astype(np.uint16))
+        q = k[q]
+        for level, need in enumerate(needs[1:], 1):
+            column = q + level * len(lengths)
+            stays = sums[hi[p], column] - sums[lo[p], column] >= need[q]
+            p, q = p[stays], q[stays]
+        out.append(np.stack([at[p], q], axis=1))
+    return np.concatenate(out)
+
+
 def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, kind: str, cosine: float, sure: float, likely: float) -> DataFrame:
     """``(id, item_ids, coverage)`` of every row: the items found in it."""
     spark = encoded.sparkSession
@@ -277,10 +316,12 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
     aligned = 0.75 * PASSAGE  # words of a long item that some passage holds, however the item lies
     limits = cosine * np.sqrt(np.minimum([len(p) for p in parts], aligned) / PASSAGE)
     queries = (queries / limits[:, None]).astype(np.float32) if parts else queries
-    shared = spark.sparkContext.broadcast((rows, queries, of))
+    rare = [rare_words(block, weights, min(sure, likely), left) for left in _LEFT]
+    shared = spark.sparkContext.broadcast((rows, queries, of, np.hstack([m for m, _ in rare]), [n for _, n in rare]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, queries, of = shared.value
+        rows, queries, of, marks, needs = shared.value
+        lengths = np.array([len(w) for w in items.value.words], np.int64)
         block = items.value
         loaded = np.any(rows != 0, axis=1)
         member = [np.bincount(w, minlength=block.size + 1) > 0 for w in block.words]
@@ -290,24 +331,30 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
             for i, ids, offsets in _laid(batch.column("ids"), block.size):
                 cell, first = _cells(offsets, STRIDE, pad=1)
                 sums = np.zeros((first[-1], rows.shape[1]), np.float32)
-                use = np.flatnonzero(loaded[ids])
-                if not len(use) or not len(queries):
+                if not len(queries) or not ids.any():
                     continue
-                c = cell[use]
-                heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                sums[c[heads]] = group_sums(rows, ids[use], heads)
+                use = np.flatnonzero(loaded[ids])
+                if len(use):
+                    c = cell[use]
+                    heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                    sums[c[heads]] = group_sums(rows, ids[use], heads)
                 text = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 passages = sums[:-1] + sums[1:]
                 length = np.sqrt(np.einsum("ij,ij->i", passages, passages))
                 good = np.flatnonzero((text[1:] == text[:-1]) & (length > 0))
-                hits = []
+                known = np.flatnonzero(ids > 0)
+                c = cell[known]
+                heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                counts = np.zeros((first[-1], marks.shape[1]), np.uint8)
+                counts[c[heads]] = group_sums(marks, ids[known], heads)
+                hits = [possible(counts, needs, lengths, first, text)]
                 for a in range(0, len(good), step):
                     at = good[a : a + step]
                     likeness = passages[at] @ queries.T  # queries are divided by their limits
                     some = np.flatnonzero(likeness.max(axis=1) >= length[at])
                     p, q = np.nonzero(likeness[some] >= length[at[some], None])
                     hits.append(np.stack([at[some[p]], of[q]], axis=1))
-                hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 2), np.int64)
+                hits = np.unique(np.concatenate(hits), axis=0)
                 for at, k in hits.tolist():
                     t = int(text[at])
                     item = block.words[k]
