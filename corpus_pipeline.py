@@ -7,13 +7,14 @@ DataFrame. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import decontaminate, language_id, mixing, simhash, substring_dedup
 from termloom.session import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NULL_LAST = (1 << 63) - 1
 #: No stage but the plain ones can be said in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
@@ -32,22 +33,39 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.identify(docs, model).filter("NOT rejected").select(*COLUMNS)
 
 
+def _row_key() -> Column:
+    """A key of id and text: null and shared ids are told apart, repeated rows are not."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id. Documents of
-    null id stay if no id of their group is known; of repeated rows one stays."""
+    """One document of each near-duplicate group: that of the smallest id, null ids last; of
+    several texts of that id in the group, and of repeated rows, one stays."""
     docs = _documents(docs)
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    heads = simhash.grouped_rows(docs).filter((F.col("doc") == F.col("head.rep")) & (F.col("fp") == F.col("head.fp")))
+    kept = heads.groupBy("doc", "fp").agg(F.min("row").alias("kept_row")).select(F.col("doc").alias("kept_doc"), "kept_row")
+    keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST))).withColumn("row", F.xxhash64("text"))
+    first = keyed.join(kept, (F.col("doc") == F.col("kept_doc")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    return first.dropDuplicates(["doc", "row"]).select(*COLUMNS)
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, in the order of the ids (null last): the id itself, or where several
+    texts share one or have none, the rank of id and text. Repeated rows share a key."""
+    id_last, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST)).alias("doc"), F.xxhash64("text").alias("row")
+    pairs = docs.select(id_last, row)
+    if pairs.groupBy("doc").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    ranks = staged(pairs.distinct().orderBy("doc", "row").withColumn("key", F.monotonically_increasing_id()), "row-ranks")
+    return staged(docs.select("*", id_last, row).join(ranks, ["doc", "row"]).drop("doc", "row"), "ranked-rows")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated passages. A text that loses nothing stays as it
     is; one that loses every word goes; ``n_chars`` follows the text."""
-    docs = _documents(docs)
-    judged = substring_dedup.dedup_substrings(docs).filter("n_removed > 0").groupBy("doc_id").agg(F.min("kept_text").alias("kept_text")).withColumnRenamed("doc_id", "judged_id")
-    joined = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("judged_id")), "left")
+    docs = _ranked(_documents(docs))
+    judged = substring_dedup.dedup_substrings(docs, "key").filter("n_removed > 0").groupBy("key").agg(F.min("kept_text").alias("kept_text")).withColumnRenamed("key", "judged_id")
+    joined = docs.join(judged, F.col("key").eqNullSafe(F.col("judged_id")), "left")
     changed = F.col("judged_id").isNotNull() | F.col("kept_text").isNotNull()
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     out = joined.filter(~changed | (F.col("kept_text") != "")).select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -56,10 +74,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    docs = _documents(docs)
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*COLUMNS)
+    docs = _documents(docs).withColumn("key", _row_key())
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
+    bad = found.filter("contaminated").select(F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, F.col("key") == F.col("bad_key"), "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

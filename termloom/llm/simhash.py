@@ -49,14 +49,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc, fp)`` of a table (doc, text), fp as a signed long."""
+    """``(doc, row, fp)`` of a table (doc, row, text), fp as a signed long; ``row`` (a long) is
+    passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(as_int64(batch.column("doc"))), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(as_int64(batch.column("doc"))), batch.column("row"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc", "row", "fp"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, fp long")
+    return docs.select("doc", "row", "text").mapInArrow(run, "doc long, row long, fp long")
 
 
 def ring_masks(segments: int) -> list[int]:
@@ -131,15 +132,11 @@ def link_edges(distinct: DataFrame, segments: int = SEGMENTS, tau: int = TAU, bl
     return groups.select("probe", "rows").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, segments: int = SEGMENTS, tau: int = TAU) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, fingerprint, component_id``.
-
-    Null or blank text: fingerprint zero, linked like any other. Null id: a row of its
-    own that lends its links but names a component only if all ids in it are null
-    (then null). Repeated rows and ids each give their row. Extra columns are ignored.
-    """
+def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, segments: int = SEGMENTS, tau: int = TAU) -> DataFrame:
+    """``(doc, row, fp, head)`` of each row: its id (null: the largest long), its text's hash,
+    its fingerprint and the least (id, fingerprint) of its near-duplicate group."""
     small_batches(docs.sparkSession)
-    table = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    table = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     each = staged(fingerprints(table, shingle), "fingerprints")
     distinct = staged(each.groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
     # several null ids share one key and must stay apart as nodes: their fingerprint tells them apart
@@ -149,10 +146,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
     edges = staged(found.distinct(), "links").join(ends, "a").join(other, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     parts = connected_components(edges)
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node")["rep"].alias("component_id"))
+    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("head"))
+    return each.join(named, "fp").select("doc", "row", "fp", "head")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, segments: int = SEGMENTS, tau: int = TAU) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, fingerprint, component_id``.
+
+    Null or blank text: fingerprint zero, linked like any other. Null id: a row of its
+    own that lends its links but names a component only if all ids in it are null
+    (then null). Repeated rows and ids each give their row. Extra columns are ignored.
+    """
+    each = grouped_rows(docs, id_col, text_col, shingle, segments, tau)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     null_last = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return each.join(named, "fp").select(null_last("doc").alias(id_col), hexed.alias("fingerprint"), null_last("component_id").alias("component_id"))
+    return each.select(null_last("doc").alias(id_col), hexed.alias("fingerprint"), null_last("head.rep").alias("component_id"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
