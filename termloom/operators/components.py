@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import staged
+from termloom.operators.joins import join_spread
+from termloom.session import release, staged, staged_so_far
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(edges with ``m``, the least neighbour of ``a``; the least neighbours). The edges of a
+    hub are not brought together: its least neighbour is sent to them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return join_spread(edges, least, "a", total), least
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    met, _ = _with_least(both, 2 * total)
+    return met.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    met, least = _with_least(down, total)
+    moved = met.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -25,17 +33,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` for every node of the undirected edges ``(a, b)`` of any
     one orderable type; a component is named by its smallest node.
 
-    Self-loops and edges with a null end are ignored. Each round is written to the
-    shared folder, so the lineage stays short; the driver sees only a row count and a
-    checksum. Raises RuntimeError if ``max_rounds`` do not suffice.
+    Self-loops and edges with a null end are ignored. Each half round is written to the
+    shared folder, so the lineage stays short, and the one before it removed; the driver
+    sees only a row count and a checksum. Raises RuntimeError if ``max_rounds`` do not
+    suffice.
     """
+    spark = edges.sparkSession
     now = staged(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    total, seen = now.count(), None
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)), "edges")
+        for star in (_large_star, _small_star):
+            mark = staged_so_far() - 1
+            now = staged(star(now, total), "edges")
+            release(spark, mark, keep=1)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-        seen = mark
+        total, seen = mark[0], mark
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

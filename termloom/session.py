@@ -6,32 +6,60 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no shared folder (unit tests, a laptop).
+#: Used only on a local master (unit tests, a laptop) that names no shared folder.
 FALLBACK_SHARED_DIR = "/tmp/checkpoints/termloom"
+#: What this process has staged and not yet removed, oldest first.
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it."""
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it. Without
+    one a cluster is refused: a machine's own folder would lose what others wrote."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = FALLBACK_SHARED_DIR
     return where.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor. ``release`` removes what is no longer needed."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the tables staged after the mark ``since``, but for the last ``keep`` of them.
+    Only for tables that no later result reads."""
+    stop = max(since, len(_STAGED) - keep)
+    for path in _STAGED[since:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _STAGED[since:stop]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan`` with its rows dealt out to all cores where it has fewer splits than cores (a
+    file of one row group is one split); a table of many splits is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan

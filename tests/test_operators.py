@@ -11,6 +11,7 @@ from termloom.operators import candidates as C
 from termloom.operators import clustering as K
 from termloom.operators import dictionary as D
 from termloom.operators import generation as L
+from termloom.operators import joins
 from termloom.operators import ranking as R
 from termloom.operators import similarity as V
 from termloom.operators.components import connected_components
@@ -38,6 +39,26 @@ def test_prefilter(spark):
     assert got == {"圧力": (0.3, True), "圧力容器": (1.0, False)}
 
 
+def test_components_of_a_hub(spark):
+    """One node with 10^5 edges, chains that hang on it, and pairs apart from it."""
+    hub = spark.range(100_000).selectExpr("7L AS a", "id + 1000 AS b")
+    chain = spark.range(3000).selectExpr("id + 50000 AS a", "id + 200000 AS b")
+    apart = spark.range(500).selectExpr("id * 2 + 900000 AS a", "id * 2 + 900001 AS b")
+    got = connected_components(hub.union(chain).union(apart)).toPandas()
+    label = dict(zip(got["node"], got["component"], strict=True))
+    assert len(label) == 1 + 100_000 + 3000 + 1000
+    assert all(c == (7 if n < 900_000 else n - n % 2) for n, c in label.items())
+
+
+def test_join_spread_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LEAST_HOT", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 2), (3, 4), (None, 3), (9, 1)) for i in range(n)], "k int, i int")
+    keyed = spark.createDataFrame([(1, "a", 50), (2, "b", 2), (3, "c", 4)], "k int, v string, n long")
+    assert joins.join_spread(rows, keyed, "k", 60).count() == 56
+    left = joins.join_spread(rows, keyed, "k", 60, how="left")
+    assert left.columns == ["k", "i", "v"] and left.count() == 60 and left.filter("v IS NULL").count() == 4
+
+
 def test_components_by_brute_force(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))]
