@@ -4,7 +4,7 @@ Writing: text files take a record's member as one "line"; every member ends in a
 zero byte (the high byte of a small length, or an empty member added after it), which
 serves as the line's end, so the files are plain concatenated gzip members.
 
-Reading is splittable: tasks scan byte ranges for the gzip magic (as the line
+Reading is splittable, also for files named .gz: tasks scan byte ranges for the gzip magic (as the line
 separator of Spark's text reader, over any file system that Spark reaches) and own
 the members that start inside their range. A candidate is a member's start only if
 its header decodes to a WARC header; what does not is the rest of the member before
@@ -14,9 +14,11 @@ fragments of its file.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.common import small_batches
+from termloom.operators.joins import join_spread
 from termloom.session import fresh_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -55,24 +58,54 @@ def member(data: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + _EMPTY_MEMBER
 
 
+_LABELS = {"sha256": hashlib.sha256, "sha1": hashlib.sha1, "md5": hashlib.md5}
+
+
+def agrees(stated: str, payload: bytes) -> bool:
+    """Whether a payload has the labelled digest a record states, in hexadecimal or base 32;
+    a digest of an unknown kind is not doubted."""
+    label, _, value = stated.partition(":")
+    digest = _LABELS.get(label.strip().lower().replace("-", ""))
+    if digest is None:
+        return True
+    raw = digest(payload).digest()
+    return value.strip().lower() in (raw.hex(), base64.b32encode(raw).decode().lower())
+
+
 def parse(data: bytes) -> dict:
-    """The fields of a decoded record; payload digest and size are those of the bytes
-    read, or for a revisit those it states."""
+    """The fields of a decoded record. Payload size and SHA-256 are those of the bytes read, or
+    for a revisit those it states; ``error`` tells what is wrong with the record, if anything."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    fields, name = {}, ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:  # a folded line
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
     ident = lambda s: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", s or "")) else None
-    kind, stated = fields["WARC-Type"], fields.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-    url = fields.get("WARC-Target-URI")
-    out = {"page_id": ident(fields.get("WARC-Record-ID")), "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": kind}
+    kind, url, stated = fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-payload-digest")
+    out = {"page_id": ident(fields.get("warc-record-id")), "record_id": fields.get("warc-record-id"), "record_type": kind, "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "refers_to": ident(fields.get("warc-refers-to")), "stated_digest": stated}
+    if not lines[0].startswith("WARC/") or kind is None:
+        return out | {"error": "no WARC header"}
+    size = fields.get("content-length", "")
+    if not re.fullmatch(r"\d+", size):
+        return out | {"error": "no Content-Length"}
+    block = rest[: int(size)]
+    short = "the record ends early" if len(block) < int(size) else None
+    http = payload = None
+    if block.startswith(b"HTTP/") or fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
     if kind == "revisit":
-        size = re.search(rb"(?im)^content-length: *(\d+)", http)
-        return out | {"refers_to": ident(fields.get("WARC-Refers-To")), "payload_bytes": int(size[1]) if size else None, "payload_digest": stated, "payload": None}
-    digest = hashlib.sha256(payload).hexdigest()
-    if stated and stated != digest:
-        raise ValueError(f"payload digest differs from the stated one in record {fields.get('WARC-Record-ID')}")
-    return out | {"refers_to": None, "payload_bytes": len(payload), "payload_digest": digest, "payload": payload}
+        length = re.search(rb"(?im)^content-length: *(\d+)", http or b"")
+        label, _, value = (stated or "").partition(":")
+        return out | {"payload_bytes": int(length[1]) if length else None, "payload_digest": value if label == "sha256" else None, "error": short}
+    payload = block if payload is None else payload
+    coded = re.search(rb"(?im)^(transfer|content)-encoding:", http or b"")  # the digest may be of the decoded bytes
+    wrong = "payload digest differs" if stated and not short and not coded and not agrees(stated, payload) else None
+    return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "payload": payload, "error": short or wrong}
 
 
 def is_start(chunk: bytes) -> bool:
@@ -90,26 +123,46 @@ class Assembler:
     """Puts the chunks of one byte range together to members."""
 
     def __init__(self) -> None:
-        self.unpack, self.raw, self.got = None, [], []
-
-    def feed(self, chunk: bytes) -> bytes | None:
-        """Take one chunk; give the decoded bytes if a member is complete."""
-        if self.unpack is None:
-            self.unpack, self.raw, self.got = zlib.decompressobj(31), [], []
-        self.raw.append(chunk)
-        self.got.append(self.unpack.decompress(chunk))
-        if self.unpack.eof:
-            self.unpack = None
-            return b"".join(self.got)
-        return None
+        self.unpack, self.raw, self.got, self.lost = None, [], [], False
+
+    def feed(self, chunk: bytes) -> Iterator[dict]:
+        """Take one chunk; give the records that it completes. Where a member is damaged, an
+        error is given for it and its chunks are searched for the start of the next one."""
+        todo = deque([chunk])
+        while todo:
+            chunk = todo.popleft()
+            if self.unpack is None:
+                if self.lost and not is_start(chunk):
+                    continue
+                self.unpack, self.raw, self.got, self.lost = zlib.decompressobj(31), [], [], False
+            self.raw.append(chunk)
+            try:
+                self.got.append(self.unpack.decompress(chunk))
+            except zlib.error as e:
+                yield parse(b"".join(self.got)) | {"error": f"damaged member: {e}"}
+                todo.extendleft(reversed(self.raw[1:]))
+                self.unpack, self.lost = None, True
+                continue
+            if self.unpack.eof:
+                self.unpack = None
+                if data := b"".join(self.got):
+                    yield parse(data)
+
+    def end(self) -> Iterator[dict]:
+        """Nothing follows: a member that is still open is an error."""
+        if self.open:
+            yield parse(b"".join(self.got)) | {"error": "the archive ends inside a member"}
 
     @property
     def open(self) -> bool:
         return self.unpack is not None
 
 
-_FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
-_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_FIELDS = [
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
+    ("record_id", pa.string()), ("stated_digest", pa.string()), ("error", pa.string()),
+]
+_DDL = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, stated_digest string, error string"
 _FRAGMENT = [("file", pa.string()), ("at", pa.int64()), ("tail", pa.bool_()), ("bytes", pa.binary())]
 
 
@@ -129,10 +182,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     small_batches(spark)
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     table = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    long_enough = F.octet_length("payload") >= shortest
-    firsts = table.filter(long_enough).groupBy("digest").agg(F.min("id").alias("first"))
-    full = table.join(firsts, "digest", "left")
-    revisit = long_enough & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    large = table.filter(F.octet_length("payload") >= shortest)
+    small = table.filter(F.octet_length("payload") < shortest).withColumn("first", F.lit(None).cast("long"))
+    firsts = large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # a payload of very many pages is not brought together: its first page is sent to them
+    full = join_spread(large, firsts, "digest", pages.count(), how="left").unionByName(small)
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +198,29 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", "\0").text(path)
 
 
+def _undecoded(spark: SparkSession) -> dict[str, str]:
+    """Reader options under which no suffix has a codec, so that ``.gz`` files are read as the
+    bytes they are and split: a pass-through codec for a suffix that stands right after
+    ``.gz`` in the (reversed, sorted) table of suffixes hides the one that would decode them."""
+    codec = spark._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    return {"io.compression.codecs": codec.CLASSNAME, codec.OPT_EXTENSION: "!.gz"}
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below ``path``: ``page_id, url, record_type,
-    refers_to, payload_bytes, payload_digest, payload``."""
+    """The records of all archives below ``path``, whatever their suffix: ``page_id, url,
+    record_type, refers_to, payload_bytes, payload_digest, payload, record_id, stated_digest,
+    error``.
+
+    Records of every type are given. ``page_id`` and ``refers_to`` are null where an
+    identifier is not of this writer's form (``record_id`` has it as it is); the payload is
+    what follows the HTTP header, or the whole block where there is none. What cannot be
+    read gives a row with an ``error`` and ends nothing: a file that is no gzip, a damaged or
+    cut member (reading goes on at the next one), a record without length, a payload that
+    differs from its stated SHA-256, SHA-1 or MD5.
+    """
     small_batches(spark)
     chunks = (
-        spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+        spark.read.options(**_undecoded(spark)).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
         .select(F.col("value").cast("binary").alias("chunk"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     )
 
@@ -166,30 +238,32 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     where, maker, headless = (file, at), Assembler(), True
                     if at == 0:
                         if chunk:
-                            raise ValueError(f"{file} does not start with a gzip member")
+                            rows.append({"error": f"{file} does not start with a gzip member"})
+                            maker.lost, headless = True, False
                         continue  # what stands before the first magic
                 candidate = MAGIC + chunk
                 if headless and not is_start(candidate):
                     loose.append({"file": file, "at": at, "tail": False, "bytes": candidate})
                     continue
                 headless = False
-                data = maker.feed(candidate)
-                if data:
-                    rows.append(parse(data))
+                rows += maker.feed(candidate)
             yield _table([*rows, *loose], [*_FIELDS, *_FRAGMENT])
         if last := tail():
             yield _table(last, [*_FIELDS, *_FRAGMENT])
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, rows = Assembler(), []
+        maker, rows, file = Assembler(), [], None
         for batch in batches:
             for x in batch.to_pylist():
-                if x["tail"] or maker.open:
-                    data = maker.feed(x["bytes"])
-                    if data:
-                        rows.append(parse(data))
-        if maker.open:
-            raise ValueError("an archive ends inside a record")
+                if x["file"] != file:
+                    rows += maker.end()
+                    maker, file = Assembler(), x["file"]
+                if x["tail"] or maker.open:  # what looks like a start may lie inside an open member
+                    rows += maker.feed(x["bytes"])
+            if len(rows) >= 500:
+                yield _table(rows, _FIELDS)
+                rows = []
+        rows += maker.end()
         yield _table(rows, _FIELDS)
 
     parts = chunks.mapInArrow(run, f"{_DDL}, file string, at long, tail boolean, bytes binary")
