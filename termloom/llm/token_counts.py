@@ -1,16 +1,16 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is encoded in overlapping chunks, each with the offsets of its
-pieces; two neighbours are spliced at a boundary that both have and after which
-they agree. Where an overlap holds no such boundary it is widened, if need be to
-the document's end.
+A text of more than ``chunk`` characters is encoded in overlapping chunks, each with the
+offsets of its tokens; two neighbours are spliced at a boundary that both have, that is
+proven stable and after which they agree. Where an overlap holds no such boundary it is
+widened, and where that reaches what is settled already, the chunk before it is lengthened.
 
 Why a boundary is stable: the byte-level pattern's matches that hold a non-blank
 character hold a blank one only as their first, so a match always ends where a
 blank follows a non-blank, whatever stands left of it; matching then goes on from
-there alone. Added tokens hold no blank and are matched inside one piece. So the
-count of a text is the sum over the pieces cut there, and a piece's count can be
-kept. Tokenizers of any other build are asked for whole texts.
+there alone. Added tokens hold no blank and lie on one side of it. So left of such a
+place the left chunk has the text's own tokens, and right of it the right chunk has.
+Tokenizers of any other build are asked for whole texts.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import small_batches
+from termloom.session import spread
 
-CHUNK, OVERLAP, AGREE, LIMIT = 1 << 16, 512, 3, 512
-#: Pieces whose counts a worker keeps; when full, it starts anew.
-KEPT_PIECES = 400_000
+CHUNK, OVERLAP, LIMIT = 4096, 512, 512
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+#: A place where a blank follows a non-blank.
+_STABLE = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])")
 _LOADED: dict = {}
 
 
@@ -46,7 +46,6 @@ class Counter:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             self.splits = self.proven(json.load(f))
-        self.kept: dict[str, int] = {}
 
     @staticmethod
     def proven(spec: dict) -> bool:
@@ -56,85 +55,72 @@ class Counter:
         model = spec.get("model") or {}
         return bool(spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and plain and model.get("type") == "BPE" and not model.get("dropout"))
 
-    def learn(self, pieces: set[str]) -> None:
-        """Have the library count the pieces not yet kept."""
-        new = list(pieces.difference(self.kept))
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept = {}
-            new = list(pieces)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.kept.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False)) if text else 0
 
-    def chunk(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
-        """Ends (offsets in ``text``) and counts of the pieces of one chunk."""
-        pieces = _PIECE.findall(text[start:stop])
-        self.learn(set(pieces))
-        ends, at = [], start
-        for p in pieces:
-            at += len(p)
-            ends.append(at)
-        return ends, [self.kept[p] for p in pieces]
-
-    def spliced(self, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> int:
-        """Token count of a huge text from overlapping chunks."""
-        total, start, done = 0, 0, 0
-        wide = min(overlap, size // 2) or 1
+    def encoded(self, text: str, start: int, stop: int) -> Encoded:
+        return Encoded(self.tokenizer.encode(text[start:stop], add_special_tokens=False), start)
+
+    def spliced(self, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+        """(tokens of a text, chunks it was encoded in)."""
+        total, settled, chunks = 0, 0, 1  # tokens and characters left of the last splice
         stop = min(len(text), size)
-        ends, counts = self.chunk(text, 0, stop)
+        left, before = self.encoded(text, 0, stop), 0  # tokens of ``left`` that lie before the splice
         while stop < len(text):
-            begin = stop - wide
-            if begin <= done:  # the overlap would reach beyond what is settled: lengthen this chunk instead
-                stop = min(len(text), stop + size)
-                ends, counts = self.chunk(text, done, stop)
-                wide = min(overlap, size // 2) or 1
-                continue
-            next_stop = min(len(text), begin + size + wide)
-            new_ends, new_counts = self.chunk(text, begin, next_stop)
-            cut = common_boundary(ends, new_ends, begin, stop)
-            if cut is None:
+            wide = max(1, min(overlap, size - 1))
+            until = min(len(text), stop - wide + size)
+            while (begin := stop - wide) > settled:
+                right, chunks = self.encoded(text, begin, until), chunks + 1
+                if (ends := common_boundary(text, left, right, begin, stop)) is not None:
+                    break
                 wide *= 2
+            else:  # the overlap would reach beyond what is settled
+                stop = min(len(text), settled + 2 * (stop - settled))
+                left, before, chunks = self.encoded(text, settled, stop), 0, chunks + 1
                 continue
-            total += sum(c for e, c in zip(ends, counts, strict=True) if done < e <= cut)
-            keep = [k for k, e in enumerate(new_ends) if e > cut]
-            ends, counts = [new_ends[k] for k in keep], [new_counts[k] for k in keep]
-            done, stop, wide = cut, next_stop, min(overlap, size // 2) or 1
-            start = begin
-        return total + sum(c for e, c in zip(ends, counts, strict=True) if e > done)
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        if not self.splits:
-            return [self.whole(t or "") for t in texts]
-        short = [t if t and len(t) <= CHUNK else "" for t in texts]
-        out, i = [], 0
-        while i < len(short):  # a bounded number of characters at once
-            j, size = i, 0
-            while j < len(short) and (j == i or size + len(short[j]) <= 1 << 20):
-                size += len(short[j])
-                j += 1
-            pieces = [_PIECE.findall(t) for t in short[i:j]]
-            self.learn({p for ps in pieces for p in ps})
-            get = self.kept.__getitem__
-            out += [sum(map(get, ps)) for ps in pieces]
-            i = j
-        return [self.spliced(t) if t and len(t) > CHUNK else n for t, n in zip(texts, out, strict=True)]
-
-
-def common_boundary(left: list[int], right: list[int], begin: int, stop: int) -> int | None:
-    """The first offset inside (begin, stop) at which both chunks end a piece and
-    after which their next boundaries agree as far as the left chunk is complete."""
-    inner_left = [e for e in left if begin < e < stop]
-    inner_right = [e for e in right if begin < e < stop]
-    shared = sorted(set(inner_left) & set(inner_right))
-    for cut in shared:
-        a = [e for e in inner_left if e > cut][:AGREE]
-        b = [e for e in inner_right if e > cut][:AGREE]
-        if a[: len(b)] == b[: len(a)]:
-            return cut
-    return None
+            settled, mine, after = ends
+            total += mine - before
+            left, before, stop = right, after, until
+        return total + len(left) - before, chunks
+
+    def counts(self, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+        """(tokens, chunks) of each text."""
+        long = {i for i, t in enumerate(texts) if t and len(t) > chunk and self.splits}
+        once = self.tokenizer.encode_batch_fast(["" if i in long else t or "" for i, t in enumerate(texts)], add_special_tokens=False)
+        return [self.spliced(texts[i], chunk, overlap) if i in long else (len(e), 1) for i, e in enumerate(once)]
+
+
+class Encoded:
+    """The tokens of one chunk by their offsets in the text."""
+
+    def __init__(self, encoding, start: int):
+        self.encoding, self.start = encoding, start
+
+    def __len__(self) -> int:
+        return len(self.encoding)
+
+    def until(self, place: int) -> int | None:
+        """Tokens before a place that follows a non-blank; None if one lies across it."""
+        at = self.encoding.char_to_token(place - 1 - self.start)
+        while at < len(self.encoding) and self.encoding.token_to_chars(at)[0] < place - self.start:
+            at += 1
+        return at if self.encoding.token_to_chars(at - 1)[1] == place - self.start else None
+
+    def ids(self, a: int, b: int) -> list[int]:
+        return self.encoding.ids[a:b]
+
+
+def common_boundary(text: str, left: Encoded, right: Encoded, begin: int, stop: int) -> tuple[int, int, int] | None:
+    """(place, tokens of ``left`` and of ``right`` before it): a stable place inside (begin,
+    stop) where both chunks end a token and from which on they agree up to the last one."""
+    places = [m.start() for m in _STABLE.finditer(text, begin + 1, stop)]
+    if not places:
+        return None
+    cut, last = places[len(places) // 2], places[-1]
+    a, b, c, d = left.until(cut), right.until(cut), left.until(last), right.until(last)
+    if None in (a, b, c, d) or left.ids(a, c) != right.ids(b, d):
+        return None
+    return cut, a, b
 
 
 def counter(path: str) -> Counter:
@@ -144,29 +130,32 @@ def counter(path: str) -> Counter:
     return _LOADED[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_bytes, n_tokens, over_limit``.
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_bytes, n_tokens, over_limit, n_chunks``.
 
     No begin, end or template tokens; special strings inside a text count as the
-    library takes them by default. Null text counts as empty (0 tokens); null and
-    repeated ids keep their rows; extra columns are ignored. ``tokenizer_path`` must
-    exist on every executor.
+    library takes them by default. ``n_chunks`` is the number of chunks that were encoded
+    (1: the text was not longer than ``chunk`` characters, or the tokenizer has no proven
+    boundaries). Null text counts as empty (0 tokens); null and repeated ids keep their
+    rows; extra columns are ignored. ``tokenizer_path`` must exist on every executor.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)
         for batch in batches:
-            n = count.counts(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                n = count.counts(part.column("text").to_pylist(), chunk, overlap)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array([k for k, _ in n], pa.int64()), pa.array([k for _, k in n], pa.int64())], names=["id", "n_bytes", "n_tokens", "n_chunks"])
 
     text = F.col(f"`{text_col}`")
     table = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
-    out = table.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = table.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, n_chunks long")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks")
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), public_tokenizers.path("byte_bpe_50k.json"))

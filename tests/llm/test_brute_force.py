@@ -130,12 +130,24 @@ def test_token_counts_agree_with_the_library():
     for _ in range(300):
         s = "".join(alphabet[k] for k in rng.integers(0, len(alphabet), rng.integers(0, 60)))
         want = len(c.tokenizer.encode(s, add_special_tokens=False))
-        assert c.counts([s]) == [want]
-        assert {c.spliced(s, size, overlap) for size, overlap in ((8, 2), (16, 5), (5, 1), (30, 29))} == {want}
+        assert c.counts([s]) == [(want, 1)]
+        assert {c.spliced(s, size, overlap)[0] for size, overlap in ((8, 2), (16, 5), (5, 1), (30, 29))} == {want}
     huge = "x" * 150_000
-    assert c.counts([huge]) == [c.whole(huge)]
+    assert c.counts([huge])[0][0] == c.whole(huge)
     other = token_counts.Counter(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
-    assert not other.splits and other.counts(["Hello  World"]) == [other.whole("Hello  World")]
+    assert not other.splits and other.counts(["Hello  World" * 900]) == [(other.whole("Hello  World" * 900), 1)]
+
+
+def test_token_counts_of_documents(spark, documents):
+    """Whole texts against the library; the longer ones are spliced."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    c = token_counts.Counter(path)
+    text = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    out = token_counts.count_tokens(documents, path).collect()
+    assert all((r["n_tokens"], r["n_bytes"]) == (c.whole(text[r["doc_id"]]), len(text[r["doc_id"]].encode())) for r in out)
+    spliced = [r for r in out if r["n_chunks"] > 1]
+    assert spliced and all(len(text[r["doc_id"]]) > token_counts.CHUNK for r in spliced)
+    assert len(spliced) == sum(len(t) > token_counts.CHUNK for t in text.values())
 
 
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
