@@ -24,7 +24,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 MASK64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.Generator(np.random.PCG64(20260101)).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Random values of the bytes, for two word hashes that have nothing in common.
+_TABLES = np.random.Generator(np.random.PCG64(20260101)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -83,7 +84,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = Powers(_BASE | 1), Powers(0xD6E8FEB86659FD93)
+_BYTE_POWERS, _WORD_POWERS = (Powers(_BASE | 1), Powers(0xC2B2AE3D27D4EB4F)), Powers(0xD6E8FEB86659FD93)
 
 
 def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +107,19 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(word & ~after) + 1
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word, by polynomial prefix sums over the bytes."""
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A 64-bit hash for each word, by polynomial prefix sums over the bytes; ``kind`` 0 and 1
+    are independent of each other."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
             lo, hi = int(starts[i]), int(ends[j - 1])
-            up, down = _BYTE_POWERS.get(hi - lo + 1)
+            up, down = _BYTE_POWERS[kind].get(hi - lo + 1)
             sums = np.empty(hi - lo + 1, np.uint64)
             sums[0] = 0
-            np.cumsum(_TABLE[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
+            np.cumsum(_TABLES[kind][buf[lo:hi]] * up[: hi - lo], out=sums[1:])
             a, b = starts[i:j] - lo, ends[i:j] - lo
             out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
             i = j

@@ -1,16 +1,20 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-Every document is factored against reference blocks cut from all documents. A
-block is the stretch of words around one *anchor*: of the k-word grams inside a
-window of ``window`` words, the one with the least hash. Equal windows choose
-equal anchors, so a factor of ``window`` words or more always meets an indexed
-block. Two rounds settle every window exactly (by 64-bit hashes of whole word
-runs):
-
-1. Blocks go to their anchor's bucket. A block equal to an earlier one is copied
-   as a whole; where an anchor has several different blocks, their windows are
-   left open (these lie at factor boundaries).
-2. Open windows alone go to their own hash's bucket, where the earliest wins.
+The reference is every block of all documents. A block is the stretch of words around one
+*anchor*: of the k-word grams inside a window of ``window`` words, the one with the least
+hash. Equal windows choose equal anchors, so a factor of ``window`` words or more always
+meets an indexed block. The index answers in two rounds:
+
+1. Blocks go to their anchor's bucket. A block equal to an earlier one (by its anchor's
+   hash and another of all its words) matches it as a whole; where an anchor has several
+   different blocks, their windows are left open.
+2. Open windows alone go to their own hash's bucket (two independent 64-bit hashes of all
+   their words), where the earliest is their match.
+
+Each document is then parsed greedily (``parse``): at the first place that has a match the
+longest one is taken and extended as long as document and reference advance in step; that
+is a factor. Windows that run over a factor's end are looked up as well, so that no
+window is lost at a boundary. Words inside factors are what is removed.
 
 A batch sends each anchor and each window at most once (its earliest), so a
 passage that a third of all rows share sends one message for each batch, not one
@@ -27,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import Sequence, as_int64, hash_words, small_batches, text_chunks, word_bounds
-from termloom.session import shuffle_partitions
+from termloom.operators.joins import join_spread
+from termloom.session import shuffle_partitions, spread, staged
 
 WINDOW, GRAM = 20, 8
+#: Bytes of text for each bucket of the index, at most.
+BUCKET_BYTES = 128 << 20
+_LAST = int(np.iinfo(np.int64).max)
 _SENT = pa.schema([("bucket", pa.int32()), ("sent", pa.binary()), ("known", pa.binary())])
 _BLOCK = np.dtype([("anchor", "u8"), ("block", "u8"), ("doc", "i8"), ("start", "i4"), ("n", "i4"), ("many", "u1")])
-_OPEN = np.dtype([("window", "u8"), ("doc", "i8"), ("start", "i4")])
+_OPEN = np.dtype([("window", "u8"), ("twin", "u8"), ("doc", "i8"), ("start", "i4")])
 _SPAN = np.dtype([("doc", "i8"), ("start", "i4"), ("n", "i4"), ("ref_doc", "i8"), ("ref_start", "i4"), ("settled", "u1")])
 _SPAN_DDL = "doc long, start int, n int, ref_doc long, ref_start int, settled boolean"
 
@@ -49,16 +57,15 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def blocks_of(words: np.ndarray, first: np.ndarray, window: int, gram: int):
+def blocks_of(words: np.ndarray, twins: np.ndarray, first: np.ndarray, window: int, gram: int):
     """Blocks of documents laid end to end (document d is words[first[d]:first[d+1]]):
-    (document, start within it, number of windows, anchor hash, block hash), and the
-    sequence hasher."""
-    seq = Sequence(words)
+    (document, start within it, number of windows, anchor hash, block hash). Anchors rest on
+    the hashes ``words``, blocks on the others, ``twins``."""
     lengths = np.diff(first)
     counts = np.maximum(lengths - window + 1, 0)
     if not counts.sum():
-        return (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2), seq
-    grams = seq.hash(np.arange(len(words) - gram + 1), gram)
+        return (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)
+    grams = Sequence(words).hash(np.arange(len(words) - gram + 1), gram)
     at = leftmost_minimum(grams, window - gram + 1)
     doc = np.repeat(np.arange(len(counts)), counts)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -68,7 +75,7 @@ def blocks_of(words: np.ndarray, first: np.ndarray, window: int, gram: int):
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(doc)))
-    return (doc[head], start[head], n, grams[anchor[head]], seq.hash(where[head], n + window - 1)), seq
+    return doc[head], start[head], n, grams[anchor[head]], Sequence(twins).hash(where[head], n + window - 1)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -141,22 +148,22 @@ def _gather(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> tuple[np.ndarr
 
 
 def _words(column: pa.Array):
-    """(first row, offsets of words by row, word hashes) of each chunk of a text column."""
+    """(first row, row after the last, offsets of words by row, both word hashes) of each
+    chunk of a text column."""
     for i, j, buf, offsets in text_chunks(column):
         starts, ends = word_bounds(buf, offsets)
-        yield i, j, np.searchsorted(starts, offsets), hash_words(buf, starts, ends)
+        yield i, j, np.searchsorted(starts, offsets), hash_words(buf, starts, ends), hash_words(buf, starts, ends, 1)
 
 
-def find_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans) of a table (doc, text) with a non-null integer ``doc``: spans
-    (doc, start, n, ref_doc, ref_start) of window starts whose window also starts earlier."""
-    parts = shuffle_partitions(docs.sparkSession)
+def find_matches(docs: DataFrame, parts: int, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(texts, matches) of a table (doc, text, ...) with a non-null integer ``doc``: runs of
+    ``n`` windows (doc, start, n, ref_doc, ref_start) which also start earlier."""
 
     def send_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = as_int64(batch.column("doc"))
-            for i, _, first, words in _words(batch.column("text")):
-                (doc, start, n, anchor, block), _ = blocks_of(words, first, window, gram)
+            for i, _, first, words, twins in _words(batch.column("text")):
+                doc, start, n, anchor, block = blocks_of(words, twins, first, window, gram)
                 x = np.zeros(len(doc), _BLOCK)
                 for k, v in zip(_BLOCK.names, (anchor, block, ids[i + doc] if len(doc) else doc, start, n), strict=False):
                     x[k] = v
@@ -178,8 +185,8 @@ def find_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
             opened = batch.column("spans")
             flat, at = opened.flatten(), np.append(0, np.cumsum(np.asarray([len(v) if v is not None else 0 for v in opened])))
             s_start, s_n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-            for i, j, first, words in _words(batch.column("text")):
-                seq = Sequence(words)
+            for i, j, first, words, twins in _words(batch.column("text")):
+                seq, twin = Sequence(words), Sequence(twins)
                 lo, hi = at[i], at[j]
                 row = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
                 n = s_n[lo:hi].astype(np.int64)
@@ -187,7 +194,8 @@ def find_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
                 fits = start + window <= (first[1:] - first[:-1])[row - i]
                 row, start = row[fits], start[fits]
                 x = np.zeros(len(row), _OPEN)
-                x["window"], x["doc"], x["start"] = seq.hash(first[row - i] + start, window), ids[row], start
+                at_word = first[row - i] + start
+                x["window"], x["twin"], x["doc"], x["start"] = seq.hash(at_word, window), twin.hash(at_word, window), ids[row], start
                 if len(x):
                     known, one = settle_windows(x)
                     yield _messages(one, "window", known, parts)
@@ -200,7 +208,7 @@ def find_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
 
     sent = "bucket int, sent binary, known binary"
     texts = docs.repartition(parts, "doc")
-    found = docs.mapInArrow(send_blocks, sent).repartition(parts, "bucket").mapInArrow(receive_blocks, _SPAN_DDL)
+    found = docs.select("doc", "text").mapInArrow(send_blocks, sent).repartition(parts, "bucket").mapInArrow(receive_blocks, _SPAN_DDL)
     span = F.struct("start", "n", "ref_doc", "ref_start")
     opened = found.filter(~F.col("settled")).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     windows = texts.join(opened, "doc").select("doc", "text", "spans").mapInArrow(send_windows, sent)
@@ -211,16 +219,17 @@ def find_duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
 
 def settle_windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of the windows that are not the earliest of their hash, and the earliest ones."""
-    x = x[np.lexsort((x["start"], x["doc"], x["window"]))]
-    new = _groups(x["window"])
+    x = x[np.lexsort((x["start"], x["doc"], x["twin"], x["window"]))]
+    new = _groups(x["window"], x["twin"])
     first = _firsts(new)
     later = (x["doc"] != x["doc"][first]) | (x["start"] != x["start"][first])
     return _spans(x["doc"], x["start"], 1, x["doc"][first], x["start"][first], 1)[later], x[new]
 
 
-def parse_factors(start, n, ref_doc, ref_start, window: int) -> list[dict]:
-    """Greedy factors from window runs: longest reach first at each position, joined
-    while the reference advances in step."""
+def parse(start, n, ref_doc, ref_start, window: int) -> list[dict]:
+    """Greedy factors of a document from the matches of its windows: at the first place left
+    the longest match, extended while the reference advances in step; matches that end
+    inside the factor before them add nothing, those that run over its end do."""
     out: list[dict] = []
     for k in np.lexsort((-n, start)):
         s, e, rd, rs = int(start[k]), int(start[k] + n[k] - 1 + window), int(ref_doc[k]), int(ref_start[k])
@@ -236,11 +245,39 @@ def parse_factors(start, n, ref_doc, ref_start, window: int) -> list[dict]:
     return out
 
 
+def outside(words: list[bytes], factors: list[dict]) -> list[bytes]:
+    """The words that no factor covers."""
+    kept, at = [], 0
+    for f in factors:  # in order of their starts and of their ends
+        kept += words[at : max(at, f["start"])]
+        at = max(at, f["start"] + f["length"])
+    return kept + words[at:]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """(id, doc, text, carried columns as c0, c1, ...) and the bytes of all texts. ``doc`` is the
+    id, null last; where different texts share an id or have none, it is the rank of id and
+    text, so that each is a document of its own."""
+    text = F.col(f"`{text_col}`")
+    doc, row = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), F.xxhash64(text)
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), doc.alias("doc"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    pairs = docs.select(doc.alias("doc"), row.alias("row"), F.octet_length(text).cast("long").alias("size"))
+    each = pairs.groupBy("doc").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.sum("size").alias("size"))
+    shared, size = each.agg(F.max(F.col("a") != F.col("b")), F.sum("size")).first()
+    if shared:
+        texts = pairs.groupBy("doc", "row").agg(F.count("*").alias("n"))
+        ranks = staged(texts.orderBy("doc", "row").withColumn("rank", F.monotonically_increasing_id()).withColumn("pair", F.struct("doc", "row")).select("pair", "rank", "n"), "row-ranks")
+        named = staged(join_spread(named.withColumn("pair", F.struct("doc", F.xxhash64("text").alias("row"))), ranks, "pair", docs.count()).drop("pair", "doc").withColumnRenamed("rank", "doc"), "ranked-rows")
+    return named, size or 0
+
+
+_FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
 _RESULT = "n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,ref_doc:long,ref_start:int>>"
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_words, n_removed, kept_text, factors``.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_words, n_removed, kept_text, factors``, and
+    the columns named in ``carry``.
 
     A word is removed if some run of ``window`` consecutive words of its document
     that covers it also starts earlier (smaller id, or same id and smaller start).
@@ -248,54 +285,43 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removed is likewise given as its words. ``factors`` are the duplicate spans with
     an earlier occurrence each.
 
-    Null text: no words. Null id: comes after every other id. Rows that share an id
-    are one document given twice; their words are judged by id and position, so a
-    repeated row neither removes nor saves anything. Extra columns are ignored.
+    Null text: no words. Null id: comes after every other id. Different texts under one id,
+    or under none, are documents of their own in the order of a hash of the text, and
+    ``ref_doc`` then is the rank of id and text. A repeated row (id and text alike) is the
+    same document given again: its words are judged by their place in it, so it neither
+    removes nor saves anything. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    last = F.lit(int(np.iinfo(np.int64).max))
-    table = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), last).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    texts, spans = find_duplicate_spans(table, window)
+    table, size = _keyed(docs, id_col, text_col, carry)
+    texts, matches = find_matches(table, max(shuffle_partitions(spark), -(-size // BUCKET_BYTES)), window)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                words = raw.split()
-                n, factors, removed = len(words), [], 0
+                words, factors = raw.split(), []
+                kept = words
                 if found.is_valid:
                     f = found.values
-                    start, cnt, rd, rs = (f.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "ref_doc", "ref_start"))
-                    edge = np.zeros(n + 1, np.int64)
-                    fits = start + cnt - 1 + window <= n
-                    start, cnt, rd, rs = start[fits], cnt[fits], rd[fits], rs[fits]
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + cnt - 1 + window, -1)
-                    gone = np.cumsum(edge)[:n] > 0
-                    removed = int(gone.sum())
-                    factors = parse_factors(start, cnt, rd, rs, window)
-                    if removed:
-                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((n, removed, b" ".join(words).decode(), factors))
+                    factors = parse(*(f.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "ref_doc", "ref_start")), window)
+                    kept = outside(words, factors)
+                rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), factors))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(_FACTOR))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.string()),
-                    pa.array([r[3] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))),
-                ],
-                names=["doc", "n_words", "n_removed", "kept_text", "factors"],
+                [batch.column("id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], *[batch.column(f"c{i}") for i in range(len(carry))]],
+                names=["id", "n_words", "n_removed", "kept_text", "factors", *[f"c{i}" for i in range(len(carry))]],
             )
 
-    out = texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(keep, f"doc long, {_RESULT}")
-    return out.withColumn("doc", F.when(F.col("doc") != last, F.col("doc"))).withColumnRenamed("doc", id_col)
+    given = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kinds = ", ".join([f"id {given[id_col]}", _RESULT, *[f"c{i} {given[c]}" for i, c in enumerate(carry)]])
+    found = texts.join(matches, "doc", "left").select("id", "text", "spans", *[f"c{i}" for i in range(len(carry))]).mapInArrow(keep, kinds)
+    return found.withColumnsRenamed({"id": id_col, **{f"c{i}": c for i, c in enumerate(carry)}})
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_substrings(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

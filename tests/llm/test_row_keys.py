@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline as pipeline
+from termloom.llm import substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +43,13 @@ def test_decontamination_of_shared_ids(spark, tmp_path):
     a, b, c = (" ".join(words(k, 40)) for k in (2, 3, 4))
     docs = table(spark, [(None, a), (None, f"{b} {item}"), (5, c), (5, f"{item} {c}")])
     assert rows(pipeline.decontamination_stage(spark, docs, str(tmp_path))) == sorted([(None, a), (5, c)], key=repr)
+
+
+def test_operator_keeps_texts_without_an_id_apart(spark):
+    """A clean text beside a copy, both without an id, and two texts of one id."""
+    x, clean, p = words(1, 60), words(2, 60), words(3, 30)
+    docs = table(spark, [(1, " ".join(x)), (None, " ".join(clean)), (None, " ".join(x)), (None, " ".join(x)), (4, " ".join(p)), (4, " ".join([*words(5, 9), *p]))])
+    out = substring_dedup.dedup_substrings(docs, carry=("text", "source")).collect()
+    got = sorted((r["doc_id"] is None, r["text"] == " ".join(clean), r["n_removed"]) for r in out if r["doc_id"] != 4)
+    assert got == [(False, False, 0), (True, False, 60), (True, False, 60), (True, True, 0)]
+    assert sum(r["n_removed"] for r in out if r["doc_id"] == 4) == 30 and {r["source"] for r in out} == {"a"}
