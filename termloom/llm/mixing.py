@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import word_count
+from termloom.operators.joins import join_spread
 from termloom.session import staged
 
 WEIGHTS, MOST_REPEATS, BLOCK_WORDS = (5, 2, 1), 3, 512
-#: Pieces a source's shuffled order is summed in; slots summed together; cells of the unit interval.
-BUCKETS, SLOT_CHUNK, CELLS = 1024, 1 << 14, 4096
+#: Rows of a source whose shuffled order is summed together, about; slots likewise; cells of the unit interval.
+BUCKET_ROWS, SLOT_CHUNK, CELLS = 1 << 13, 1 << 14, 4096
 _GOLDEN = 0.6180339887498949
 _GOLDEN_HIGH = 0.6180339887498948482 * (1 << 20) % 1
 
@@ -33,7 +34,7 @@ def golden_point(i: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """``(source, source_size, sid, weight, target)`` of a table (source, source_size).
+    """``sizes``, a table (source, source_size, ...), with ``sid, weight, target``.
 
     Sources by code point, null last, take the weights in turn and share the total
     size; none exceeds ``most`` times its own size, and what is above is shared again.
@@ -54,7 +55,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> Data
         .withColumn("share", F.min_by("level", F.when(~F.col("full"), F.struct("ratio", "sid"))).over(everything))
     )
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight")))
-    return capped.select("source", "source_size", "sid", "weight", target.alias("target"))
+    return capped.select(*sizes.columns, "sid", "weight", target.alias("target"))
 
 
 def _block_of(word: Column) -> Column:
@@ -110,59 +111,64 @@ def schedule(planned: DataFrame) -> DataFrame:
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
     need = planned.select("sid", "slots").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     closing = need.filter("slots > got").select("sid", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank")).select(F.lit(total).cast("long").alias("slot"), "sid", "rank")
-    kept = ranked.join(planned.select("sid", "slots"), "sid").filter("rank < slots").select("slot", "sid", "rank")
+    kept = join_spread(ranked, planned.select("sid", "slots", F.col("slots").alias("n")), "sid", total).filter("rank < slots").select("slot", "sid", "rank")
     return kept.unionByName(closing)
 
 
 def laid_out(docs: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
-    """``(sid, doc, size, at)``: each document's first word in its source's shuffled order."""
-    where = F.xxhash64("doc", F.lit(seed))
-    placed = docs.join(planned.select("source", "sid"), docs["source"].eqNullSafe(planned["source"])).select("sid", "doc", "size", where.alias("h")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)))
+    """``(sid, source, base, extra, uid, doc, size, at)``: each row's first word in its source's
+    shuffled order. Rows alike in id and text may stand in either order. ``docs`` and
+    ``planned`` name a source by ``key``."""
+    h = F.xxhash64("doc", "row", F.lit(seed))
+    known = planned.select("key", "sid", "source", "base", "extra", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.col("rows").alias("n"))
+    total = planned.agg(F.sum("rows")).first()[0] or 0
+    placed = join_spread(docs.drop("source"), known, "key", total).select("sid", "source", "base", "extra", "uid", "doc", "row", "size", h.alias("h"), F.pmod(F.shiftright(h, 20), "buckets").alias("bucket"))
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", F.col("doc").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, ["sid", "bucket"]).select("sid", "doc", "size", (F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("at"))
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", F.col("doc").asc_nulls_last(), "row", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(offsets, ["sid", "bucket"]).select("sid", "source", "base", "extra", "uid", "doc", "size", (F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("at"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """``(mix, documents)``. ``mix`` holds the pieces in slot order: ``slot, rank, source,
-    doc_id, start, n_words`` (words start .. start+n_words of that document). ``documents``
-    has one row for each document and source: ``doc_id, source, size, source_size, target``.
+    doc_id, uid, start, n_words`` (words start .. start+n_words of that row). ``documents``
+    has one row for each row of ``docs``: ``uid, doc_id, source, size, source_size, target``.
 
-    Null text: size 0, never taken. Null source: the last source. Rows that share id
-    and source are one document whose sizes add up; null ids of a source likewise.
-    An empty table gives two empty ones. Extra columns are ignored.
+    ``uid`` numbers the rows of this run: null and repeated ids and repeated rows stay rows of
+    their own. Null text: size 0, never taken. Null source: the last source. An empty table
+    gives two empty ones. Extra columns are ignored.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    sized = staged(rows.groupBy("doc", "source").agg(F.sum("size").alias("size")), "sizes")
-    sources = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("row"))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    sized = staged(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", key), "sizes")
+    sources = staged(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "sources")
     planned = staged(plan(sources, block_words), "plan")
-    slots = schedule(planned).join(planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need")), "sid")
+    total = planned.agg(F.sum("slots")).first()[0] or 0
+    slots = join_spread(schedule(planned), planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need"), F.col("slots").alias("n")), "sid", total)
     block = F.pmod("rank", "blocks")
     lo = _block_start(F.col("block"))
     hi = F.when((F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0), F.col("rest")).otherwise(_block_start(F.col("block") + 1))
     filled = slots.withColumn("block", block).select("slot", "sid", "rank", "block", lo.alias("lo"), hi.alias("hi"))
     pieces = (
         laid_out(sized.filter("size > 0"), planned, seed)
-        .join(planned.select("sid", "source", "base", "extra"), "sid")
         .withColumn("block", F.explode(F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))))
-        .select("sid", "block", "source", "doc", "size", "at")
+        .select("sid", "block", "source", "uid", "doc", "size", "at")
     )
     start, stop = F.greatest("lo", "at"), F.least("hi", F.col("at") + F.col("size"))
-    mixed = filled.join(pieces, ["sid", "block"]).filter(start < stop).select("slot", "rank", "source", F.col("doc").alias(id_col), (start - F.col("at")).alias("start"), (stop - start).alias("n_words"))
-    named = sources.select(F.col("source").alias("s"), "source_size", "target")
-    documents = sized.join(named, sized["source"].eqNullSafe(named["s"])).select(F.col("doc").alias(id_col), "source", "size", "source_size", "target")
+    mixed = filled.join(pieces, ["sid", "block"]).filter(start < stop).select("slot", "rank", "source", F.col("doc").alias(id_col), "uid", (start - F.col("at")).alias("start"), (stop - start).alias("n_words"))
+    named = sources.select("key", "source_size", "target", F.col("rows").alias("n"))
+    documents = join_spread(sized, named, "key", sized.count()).select("uid", F.col("doc").alias(id_col), "source", "size", "source_size", "target")
     return mixed, documents
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken`` where
-    ``taken`` counts the words the mix takes of it, repeats included."""
+    """One row for each row of ``docs``: ``doc_id, size, source_size, target, taken`` where
+    ``taken`` counts the words the mix takes of it, repeats included. See ``mix``."""
     mixed, documents = mix(docs, **options)
-    taken = mixed.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s")).agg(F.sum("n_words").alias("n"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
-    return documents.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+    taken = mixed.groupBy(F.col("uid").alias("u")).agg(F.sum("n_words").alias("n"))
+    return documents.join(taken, F.col("uid") == F.col("u"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def run(name, spark, docs, model_path):
 def test_odd_rows(spark, model_path, name):
     docs = odd(spark)
     out = run(name, spark, docs, model_path).collect()
-    assert len(out) == (9 if name == "op4" else 10)  # op4 takes repeated rows of an id and source as one document
+    assert len(out) == 10
     by = {r["doc_id"]: r for r in out}
     if name == "op1":
         assert by[2]["lang_pred"] == by[6]["lang_pred"] == "und" and by[1]["lang_pred"] == "en" and by[2]["rejected"]
@@ -56,6 +56,9 @@ def test_odd_rows(spark, model_path, name):
         assert by[5]["kept_text"] == ""
     if name == "op3":
         assert by[2]["n_tokens"] == by[3]["n_tokens"] == 0 and by[4]["over_limit"]
+    if name == "op4":
+        ones = [r for r in out if r["doc_id"] == 1]
+        assert len(ones) == 2 and all(r["size"] == 9 and 0 <= r["taken"] <= 27 for r in ones) and by[None]["size"] == 6
     if name == "op6":
         assert [i for i, r in by.items() if r["contaminated"]] == [1] and by[1]["item_ids"] == [1]
     if name == "op7":
