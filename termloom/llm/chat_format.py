@@ -119,6 +119,7 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
             F.length("loss").cast("long").alias("loss_chars"),
             F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
+            "valid",
         )
     )
 
@@ -140,6 +141,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(_T.opening + _T.between + _T.closing)} + length({_sql_escaped('role')}) + length({_sql_escaped('text')})) AS BIGINT) AS formatted_chars
+  CAST(sum({len(_T.opening + _T.between + _T.closing)} + length({_sql_escaped('role')}) + length({_sql_escaped('text')})) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, chr(10) ORDER BY turn NULLS FIRST, role, text), '(system\\n)?user\\nassistant(\\nuser\\nassistant)*') AS valid
 FROM rows GROUP BY conv_id
 """
