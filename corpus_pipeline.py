@@ -7,11 +7,11 @@ DataFrame. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import decontaminate, language_id, mixing, simhash, substring_dedup
-from termloom.session import staged
+from termloom.session import release, staged, staged_so_far
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NULL_LAST = (1 << 63) - 1
@@ -33,11 +33,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.identify(docs, model).filter("NOT rejected").select(*COLUMNS)
 
 
-def _row_key() -> Column:
-    """A key of id and text: null and shared ids are told apart, repeated rows are not."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id, null ids last; of
     several texts of that id in the group, and of repeated rows, one stays."""
@@ -49,39 +44,32 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return first.dropDuplicates(["doc", "row"]).select(*COLUMNS)
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``key``, in the order of the ids (null last): the id itself, or where several
-    texts share one or have none, the rank of id and text. Repeated rows share a key."""
-    id_last, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST)).alias("doc"), F.xxhash64("text").alias("row")
-    pairs = docs.select(id_last, row)
-    if pairs.groupBy("doc").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").isEmpty():
-        return docs.withColumn("key", F.col("doc_id").cast("long"))
-    ranks = staged(pairs.distinct().orderBy("doc", "row").withColumn("key", F.monotonically_increasing_id()), "row-ranks")
-    return staged(docs.select("*", id_last, row).join(ranks, ["doc", "row"]).drop("doc", "row"), "ranked-rows")
-
-
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated passages. A text that loses nothing stays as it
-    is; one that loses every word goes; ``n_chars`` follows the text."""
-    docs = _ranked(_documents(docs))
-    judged = substring_dedup.dedup_substrings(docs, "key").filter("n_removed > 0").groupBy("key").agg(F.min("kept_text").alias("kept_text")).withColumnRenamed("key", "judged_id")
-    joined = docs.join(judged, F.col("key").eqNullSafe(F.col("judged_id")), "left")
-    changed = F.col("judged_id").isNotNull() | F.col("kept_text").isNotNull()
+    is; one that loses every word goes; ``n_chars`` follows the text. Rows are judged one by
+    one: null and shared ids lose nothing but their own repeated words."""
+    out = substring_dedup.dedup_substrings(_documents(docs), carry=COLUMNS[1:])
+    changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    out = joined.filter(~changed | (F.col("kept_text") != "")).select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-    return out.select(*COLUMNS)
+    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.filter(~changed | (F.col("kept_text") != "")).select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    docs = _documents(docs).withColumn("key", _row_key())
+    """Documents in which no benchmark item is found. A row is told by id and text, so null
+    and shared ids do not share a verdict; repeated rows do. An empty table stays empty, an
+    empty benchmark removes nothing."""
+    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST)).alias("doc"), F.xxhash64("text").alias("row"))
+    docs = _documents(docs).withColumn("key", row)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key")
     bad = found.filter("contaminated").select(F.col("key").alias("bad_key")).distinct()
     return docs.join(bad, F.col("key") == F.col("bad_key"), "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: for each document its size, its source's size and target, and the words taken."""
+    """The mix: for each document its size, its source's size and target, and the words taken.
+    One row for each row given, whatever its id; null text has size 0, a null source is the
+    last one; an empty table gives an empty one."""
     return mixing.mixed_documents(_documents(docs))
 
 
@@ -95,10 +83,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to ``documents``; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply every stage to ``documents``; each stage's rows are written and read again, and
+    what it staged on its way, its predecessor's rows among it, is removed."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = staged(docs, name)
+            release(spark, mark, keep=1)
     return docs
