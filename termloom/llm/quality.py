@@ -4,7 +4,11 @@ A small network over style features minimises the non-negative unbiased risk
 pi R_p(+) + max(0, R_u(-) - pi R_p(-)) from trusted positives, unlabelled texts and
 an estimated class prior pi; where the inner term falls below zero its gradient is
 reversed. The features look at bytes, words and repetition only, over whole texts.
-A one-dimensional logistic fit on the labelled rows then maps outputs to scores.
+Texts labelled as negative are unlabelled ones like any other.
+
+The prior is estimated from positives and unlabelled texts alone: a network fitted to one
+half of both ranks the other half, and where the ranking is purest, the share of
+unlabelled texts above a cut over the share of positives above it is (at most) pi.
 
 The fit uses a bounded sample: about ``max_positives`` labelled and ``max_unlabelled``
 other rows, chosen by a hash of their id.
@@ -21,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import crc_fold, hash_words, small_batches, text_chunks, word_bounds
+from termloom.session import spread
 
 MAX_POSITIVES, MAX_UNLABELLED, DEFAULT_PRIOR = 4000, 8000, 0.8
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 16, 40, 512, 3e-3, 1e-4
+#: Prior under which the ranking for the estimate is fitted, and the estimate's confidence.
+RANKING_PRIOR, DOUBT = 0.7, 0.1
 _STEPS = 1_000_000
 _CLASSES = 16
 
@@ -96,8 +103,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray]  # hidden, hidden bias, output, output bias
-    slope: float = 1.0
-    shift: float = 0.0
+    prior: float = DEFAULT_PRIOR
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.weights[0] + self.weights[1])
@@ -107,7 +113,30 @@ class Model:
         return self.hidden(x) @ self.weights[2] + self.weights[3]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.output(x) + self.shift)
+        return _sigmoid(self.output(x))
+
+
+def risk(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """The non-negative risk of the weights under the sigmoid loss, its inner term R_u(-) -
+    pi R_p(-), and the direction to go down: the risk's gradient, or where the inner term is
+    negative the reversed gradient of that term."""
+
+    def pull(x: np.ndarray, slope: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the weights for the given slopes of the outputs."""
+        h = np.tanh(x @ w[0] + w[1])
+        back = np.outer(slope, w[2]) * (1 - h * h)
+        return [x.T @ back, back.sum(axis=0), h.T @ slope, slope.sum()]
+
+    out = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
+    su, sp = _sigmoid(out(u)), _sigmoid(out(p))  # loss of calling them negative
+    du, dp = su * (1 - su) / len(su), sp * (1 - sp) / len(sp)
+    inner = su.mean() - prior * sp.mean()
+    down = [a - b for a, b in zip(pull(u, du), pull(p, prior * dp), strict=True)]
+    if inner >= 0:
+        down = [a + b for a, b in zip(down, pull(p, -prior * dp), strict=True)]
+    else:
+        down = [-a for a in down]
+    return prior * (1 - sp).mean() + max(0.0, inner), inner, down
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
@@ -119,66 +148,60 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     w = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(())]
     m, v, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
 
-    def pull(x: np.ndarray, slope: np.ndarray) -> list[np.ndarray]:
-        """Gradients of the weights for the given slopes of the outputs."""
-        h = np.tanh(x @ w[0] + w[1])
-        back = np.outer(slope, w[2]) * (1 - h * h)
-        return [x.T @ back, back.sum(axis=0), h.T @ slope, slope.sum()]
-
     steps = max(1, -(-len(u) // BATCH))
     for _ in range(EPOCHS):
         up, pp = rng.permutation(len(u)), rng.permutation(len(p))
         for k in range(steps):
             xu, xp = u[up[k::steps]], p[pp[k % len(pp) :: max(1, min(steps, len(pp)))]]
-            gu = np.tanh(xu @ w[0] + w[1]) @ w[2] + w[3]
-            gp = np.tanh(xp @ w[0] + w[1]) @ w[2] + w[3]
-            su, sp = _sigmoid(gu), _sigmoid(gp)  # loss of calling them negative
-            du, dp = su * (1 - su) / len(su), sp * (1 - sp) / len(sp)
-            inner = su.mean() - prior * sp.mean()
-            gn = [a - b for a, b in zip(pull(xu, du), pull(xp, prior * dp), strict=True)]
-            if inner >= 0:
-                grad = [a + b for a, b in zip(gn, pull(xp, -prior * dp), strict=True)]
-            else:
-                grad = [-a for a in gn]
+            _, _, grad = risk(w, xp, xu, prior)
             t += 1
             for i in range(4):
                 g = grad[i] + DECAY * w[i]
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                 w[i] = w[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, w)
+    return Model(mean, scale, w, prior)
+
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from outputs alone: of all cuts that of the
+    least upper confidence bound of P(unlabelled above) / P(positive above)."""
+    a, b = np.sort(positive)[::-1], np.sort(unlabelled)
+    held = np.arange(1, len(a) + 1) / len(a)
+    above = 1 - np.searchsorted(b, a, "left") / len(b)
+    slack = np.sqrt(np.log(4 / DOUBT) / 2) * (len(a) ** -0.5 + len(b) ** -0.5)
+    k = int(np.argmin((above + slack) / held))
+    return float(np.clip(above[k] / held[k], 0.01, 0.99))
 
-def scale_scores(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Logistic fit of the labels on the outputs (Newton steps, lightly held back)."""
-    g = model.output(x)
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _sigmoid(a * g + b)
-        r, w = p - y, p * (1 - p) + 1e-6
-        grad = np.array([(r * g).sum() + 1e-2 * (a - 1), r.sum() + 1e-2 * b])
-        hess = np.array([[(w * g * g).sum() + 1e-2, (w * g).sum()], [(w * g).sum(), w.sum() + 1e-2]])
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 5 / (np.abs(step).max() + 1e-9))
-        a, b = a - step[0], b - step[1]
-    model.slope, model.shift = (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> float:
+    """The mean of both halves' estimates, each ranked by a network fitted to the other half;
+    ``DEFAULT_PRIOR`` where there are too few texts to halve."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return DEFAULT_PRIOR
+    rng = np.random.default_rng(seed)
+    p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    found = []
+    for k in (0, 1):
+        ranking = train(positive[p[k::2]], unlabelled[u[k::2]], RANKING_PRIOR)
+        found.append(estimate_prior(ranking.output(positive[p[1 - k :: 2]]), ranking.output(unlabelled[u[1 - k :: 2]])))
+    return float(np.mean(found))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: Column | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
     """Fit on the rows of ``docs`` that ``usable`` (an expression over the id, used on both
     tables) keeps. None without any positive label. Of several labels of an id the
-    rounded mean counts; null labels and ids are ignored; the prior is the share of
-    positives among the labels (``DEFAULT_PRIOR`` if all are positive)."""
+    rounded mean counts; null labels and ids are ignored."""
     small_batches(docs.sparkSession)
     use = usable if usable is not None else F.lit(True)
     key = F.col(f"`{id_col}`")
-    marked = labels.filter(use).select(key.alias("id"), F.col(f"`{label_col}`").alias("y")).dropna().groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y"))
-    n_pos, n_all = marked.agg(F.sum("y"), F.count("*")).first()
+    marked = labels.filter(use).select(key.alias("id"), F.col(f"`{label_col}`").alias("y")).dropna().groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y")).filter("y = 1")
+    n_pos = marked.count()
     if not n_pos:
         return None
     pool = docs.filter(use).select(key.alias("id"), F.col(f"`{text_col}`").alias("text"))
     total = pool.select("id").count()
     draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(_STEPS)) / _STEPS
-    known = marked.filter(draw(21) < min(1.0, max_positives / n_pos))  # bounded by max_positives
+    known = marked.filter(draw(21) < min(1.0, max_positives / n_pos))  # about max_positives rows, whatever the labels are
     drawn = pool.withColumn("u", draw(22) < min(1.0, max_unlabelled / max(1, total)))
     chosen = drawn.join(F.broadcast(known), "id", "left").filter("u OR y IS NOT NULL")
 
@@ -197,12 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     u = np.array(got.column("u").to_pylist(), bool)
     if not (y == 1).any() or not u.any():
         return None
-    prior = n_pos / n_all if n_pos < n_all else DEFAULT_PRIOR
-    model = train(x[y == 1], x[u], prior)
-    labelled = ~np.isnan(y)
-    if (y == 0).any():
-        scale_scores(model, x[labelled], y[labelled])
-    return model
+    return train(x[y == 1], x[u], class_prior(x[y == 1], x[u]))
 
 
 def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -234,4 +252,4 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels, usable=crc_fold(F.col("doc_id")) != 1)
     held_out = (crc_fold(F.col("doc_id")) == 1).alias("held_out")
-    return classify(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "score", "predicted")
+    return classify(spread(docs.select("doc_id", held_out, "text")), model).select("doc_id", "held_out", "score", "predicted")
