@@ -8,8 +8,8 @@ to the language of least cross-entropy per character and is rejected where that
 exceeds what calibration texts of the language allow at its length.
 
 The models are fitted on a bounded sample: about ``max_docs`` labelled documents of
-each language, chosen by a hash of their id; a fifth of them only calibrates. Whole
-texts are used throughout.
+each language, chosen by a hash of their id; a fifth of them only calibrates, unless the
+language has no others. Whole texts are used throughout, in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import crc_fold, mix, small_batches, text_chunks
+from termloom.session import spread
 
 ORDER, MAX_DOCS, BITS, UNKNOWN_LANGUAGE = 5, 2000, 12, "und"
 #: Characters scored at once; nats of slack on calibration, fixed and by the root of the length.
 CHUNK, SLACK, SHORT = 400_000, 1.0, 6.0
 _SPACE, _STEPS = 0x20, 1_000_000
+#: Bytes of text folded at once.
+PIECE = 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -60,6 +63,34 @@ def folded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[keep], np.concatenate(([0], np.cumsum(keep)))[ends]
 
 
+def pieces(buf: np.ndarray, offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(first text, text after the last, folded code points, offsets of the texts in them, how
+    many of the first ones are history only). Texts of up to ``size`` bytes together come at
+    once; a longer one comes in pieces, each begun by what its first grams look back on."""
+    size = size or PIECE
+    if len(buf) <= size:
+        yield 0, len(offsets) - 1, *folded(buf, offsets), 0
+        return
+    for t in range(len(offsets) - 1):
+        at, stop, tail = int(offsets[t]), int(offsets[t + 1]), np.zeros(0, np.uint32)
+        while at < stop:
+            end = min(stop, at + size)
+            while end < stop and buf[end] & 0xC0 == 0x80:  # not inside a character
+                end += 1
+            chars, _ = folded(buf[at:end], np.array([0, end - at]))
+            if len(tail) and tail[-1] != _SPACE and not _is_letter(buf, at):
+                chars = np.concatenate(([np.uint32(_SPACE)], chars))  # folding drops what a text begins with
+            whole = np.concatenate([tail, chars])
+            yield t, t + 1, whole, np.array([0, len(whole)]), len(tail)
+            tail, at = whole[-(ORDER - 1) :], end
+
+
+def _is_letter(buf: np.ndarray, at: int) -> bool:
+    lead = int(buf[at])
+    width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+    return buf[at : at + width].tobytes().decode("utf-8").isalpha()
+
+
 def histories(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For every character the packed identifiers of it and the four before it (spaces before a text)."""
     pos = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -143,17 +174,20 @@ class Model:
 
     def entropies(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(nats per character under each language, characters, letters) of each text."""
-        chars, ends = folded(buf, offsets)
-        keys = histories(self.identifiers(chars), ends)
-        sums = np.zeros((len(offsets) - 1, len(self.languages)))
-        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        for i in range(0, len(keys), CHUNK):
-            lp = self.log_probabilities(keys[i : i + CHUNK])
-            t = text[i : i + CHUNK]
-            heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            sums[t[heads]] += np.add.reduceat(lp, heads, axis=0, dtype=np.float64)
-        n = np.diff(ends)
-        letters = np.bincount(text, weights=chars != _SPACE, minlength=len(n)).astype(np.int64)
+        size = len(offsets) - 1
+        sums, n, letters = np.zeros((size, len(self.languages))), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for first, last, chars, ends, known in pieces(buf, offsets):
+            keys = histories(self.identifiers(chars), ends)
+            text = np.repeat(np.arange(first, last), np.diff(ends))
+            fresh = np.ones(len(chars), bool)
+            fresh[:known] = False  # scored with the piece before
+            for i in range(0, len(keys), CHUNK):
+                use = np.flatnonzero(fresh[i : i + CHUNK]) + i
+                lp, t = self.log_probabilities(keys[use]), text[use]
+                heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else use
+                sums[t[heads]] += np.add.reduceat(lp, heads, axis=0, dtype=np.float64) if len(t) else 0.0
+            n += np.bincount(text[fresh], minlength=size)
+            letters += np.bincount(text[fresh & (chars != _SPACE)], minlength=size)
         return -sums / np.maximum(n, 1)[:, None], n, letters
 
     def judge(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[str, float, bool]]:
@@ -210,8 +244,7 @@ def estimate(grams: dict[str, tuple[np.ndarray, np.ndarray]], letters: np.ndarra
 def _wide_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Five-grams of a text column as two integers of code points, with counts."""
     high, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, _, buf, offsets in text_chunks(column, 1 << 20):
-        chars, ends = folded(buf, offsets)
+    for chars, ends, known in (p[2:] for _, _, buf, offsets in text_chunks(column, 1 << 20) for p in pieces(buf, offsets)):
         pos = np.arange(len(chars)) - np.repeat(ends[:-1], np.diff(ends))
         prior = [chars.astype(np.int64)]
         for k in range(1, ORDER):
@@ -219,8 +252,8 @@ def _wide_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             c[k:] = chars[:-k]
             c[pos < k] = _SPACE
             prior.append(c)
-        high.append(prior[4] << 21 | prior[3])
-        low.append(prior[2] << 42 | prior[1] << 21 | prior[0])
+        high.append((prior[4] << 21 | prior[3])[known:])
+        low.append((prior[2] << 42 | prior[1] << 21 | prior[0])[known:])
     pairs = np.stack([np.concatenate(high), np.concatenate(low)], axis=1)
     u, n = np.unique(pairs, axis=0, return_counts=True)
     return u[:, 0], u[:, 1], n
@@ -232,13 +265,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     a smaller one)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"), (usable if usable is not None else F.lit(True)).alias("usable")).filter("usable AND label IS NOT NULL")
+    # rows of a repeated or missing id are drawn each by itself
+    key = F.coalesce(F.col("id"), F.lit("")), F.xxhash64("text")
+    draw = F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(_STEPS))
     sizes = rows.groupBy("label").count().collect()  # one row for each language
     if not sizes:
         return None
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(_STEPS))
-    limit = F.create_map(*[F.lit(x) for label, n in sizes for x in (label, int(_STEPS * min(1.0, max_docs / n)))])
+    limit = F.create_map(*[F.lit(x) for label, n in sizes for x in (label, max(1, int(_STEPS * min(1.0, max_docs / n))))])
     chosen = rows.filter(draw < limit[F.col("label")])
-    calibrating = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0
+    calibrating = F.pmod(F.xxhash64(*key, F.lit(12)), F.lit(5)) == 0
+    # a language whose few rows would all calibrate is fitted on them as well
+    fitted = {r[0] for r in chosen.filter(~calibrating).filter(F.col("text").rlike(r"\p{L}")).select("label").distinct().collect()}
+    fitting = ~calibrating | ~F.col("label").isin(*fitted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +286,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 high, low, n = _wide_grams(mine.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(high), pa.array(low), pa.array(n)], names=["label", "high", "low", "n"])
 
-    wide = chosen.filter(~calibrating).select("label", "text").mapInArrow(count, "label string, high long, low long, n long").groupBy("label", "high", "low").agg(F.sum("n").alias("n"))
+    wide = chosen.filter(fitting).select("label", "text").mapInArrow(count, "label string, high long, low long, n long").groupBy("label", "high", "low").agg(F.sum("n").alias("n"))
     got = wide.toArrow()  # bounded by the sample
     if not got.num_rows:
         return None
@@ -323,4 +361,4 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, usable=crc_fold(F.col("doc_id")) != 1)
     held_out = (crc_fold(F.col("doc_id")) == 1).alias("held_out")
-    return identify(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return identify(spread(docs.select("doc_id", held_out, "text")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import quality
+from termloom.llm import language_id, quality
 from termloom.llm.common import crc_fold
 
 
@@ -65,3 +65,81 @@ def test_quality_query_against_its_formula(spark):
     turned = labels.withColumn("quality", F.when(crc_fold(F.col("doc_id")) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     again = quality.fit(docs, turned, usable=crc_fold(F.col("doc_id")) != 1)
     assert all((a == b).all() for a, b in zip(model.weights, again.weights, strict=True))
+
+
+def plain_kneser_ney(texts, letters, order=5):
+    """Interpolated Kneser-Ney by its formula, over tuples of identifiers."""
+    vocabulary = len(letters) + 2
+    code = {c: i + 2 for i, c in enumerate(letters)}
+    counts = [{} for _ in range(order + 1)]
+    for text in texts:
+        ids = [0] * (order - 1) + [0 if c == " " else code.get(c, 1) for c in text]
+        for i in range(order - 1, len(ids)):
+            gram = tuple(ids[i - order + 1 : i + 1])
+            counts[order][gram] = counts[order].get(gram, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] = counts[k].get(gram[1:], 0) + 1
+    discount = []
+    for k in range(order + 1):
+        n1, n2 = (sum(v == x for v in counts[k].values()) for x in (1, 2))
+        discount.append(min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2))))
+
+    def p(history, c):
+        k = len(history) + 1
+        lower = p(history[1:], c) if history else 1 / vocabulary
+        after = [v for g, v in counts[k].items() if g[:-1] == history]
+        if not after:
+            return lower
+        own = counts[k].get((*history, c), 0)
+        return max(0, own - discount[k]) / sum(after) + discount[k] * len(after) / sum(after) * lower
+
+    return code, p
+
+
+def test_scores_are_plain_kneser_ney(spark):
+    """Cross-entropies of the fitted models against the formula, for whole texts."""
+    corpus = {"a": ["abba cab", "bacca abac"], "b": ["dede fed", "feed deaf bead"]}
+    letters = sorted(set("".join(sum(corpus.values(), []))) - {" "})
+    shell = language_id.Model([], np.array([ord(c) for c in letters], np.uint32), [], [], np.zeros(0))
+    grams = {}
+    for name, texts in corpus.items():
+        keys = [language_id.histories(shell.identifiers(np.array([ord(c) for c in t], np.uint32)), np.array([0, len(t)])) for t in texts]
+        grams[name] = np.unique(np.concatenate(keys), return_counts=True)
+    model = language_id.estimate(grams, shell.letters)
+    for text in ("abba", "deaf cab", "xyz bead", "a"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got, n, _ = model.entropies(raw, np.array([0, len(raw)]))
+        for j, name in enumerate(model.languages):
+            code, p = plain_kneser_ney(corpus[name], letters)
+            ids = [0] * 4 + [0 if c == " " else code.get(c, 1) for c in text]
+            want = -sum(np.log(p(tuple(ids[i - 4 : i]), ids[i])) for i in range(4, len(ids))) / len(text)
+            assert n[0] == len(text) and got[0, j] == pytest.approx(want, rel=1e-5)
+
+
+def test_long_texts_in_pieces():
+    """Grams do not depend on where a long text is cut."""
+    rng = np.random.default_rng(3)
+    alphabet = ["a", "B", " ", ", ", "\n", "é", "ß", "日", "\U00020bb7", "7"]
+    for k in range(60):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 90)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        whole = language_id.folded(raw, np.array([0, len(raw)]))[0].tolist()
+        for size in (1, 2, 7, 30):
+            got = [c for *_, chars, _, known in language_id.pieces(raw, np.array([0, len(raw)]), size) for c in chars[known:].tolist()]
+            assert got == whole
+            for *_, chars, _, known in language_id.pieces(raw, np.array([0, len(raw)]), size):
+                assert known <= 4
+
+
+def test_a_language_of_few_rows_is_learned(spark):
+    """Whatever the ids of its rows are, also if all of them would only calibrate."""
+    other = [(1000 + i, f"the quick brown fox number {i} jumps over the lazy dog", "en") for i in range(40)]
+    for few in ([(3, "zażółć gęślą jaźń", "pl")], [(10, "zażółć gęślą jaźń", "pl"), (3, "gęślą zażółć", "pl")]):
+        docs = spark.createDataFrame(other + few, "doc_id long, text string, lang string")
+        model = language_id.fit(docs)
+        assert model.languages == ["en", "pl"]
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+        assert got[3] == "pl" and got[1000] == "en"
+    alone = spark.createDataFrame([(3, "zażółć gęślą jaźń", "pl")], "doc_id long, text string, lang string")
+    assert language_id.identify(alone, language_id.fit(alone)).first()["lang_pred"] == "pl"
