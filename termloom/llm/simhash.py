@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import as_int64, small_batches
 from termloom.operators.components import connected_components
-from termloom.session import staged
+from termloom.operators.joins import join_spread
+from termloom.session import spread, staged
 
 SHINGLE, TAU, SEGMENTS, SEED = 3, 3, 7, 42
 #: Fingerprints of one key that a task compares at once; larger keys are cut.
@@ -108,9 +109,9 @@ def link_edges(distinct: DataFrame, segments: int = SEGMENTS, tau: int = TAU, bl
     signed = [m - (1 << 64) if m >> 63 else m for _, m in ring]
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("probe"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for i, m in enumerate(signed)])
     rows = distinct.select("fp", "rep", F.explode(keys).alias("k")).select("k.probe", "k.key", "fp", "rep")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    cuts = F.ceil(F.col("n") / block)
-    dealt = rows.join(shared, "key").withColumn("cuts", cuts).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / block))
+    # a key of very many fingerprints is not brought together before it is cut
+    dealt = join_spread(rows, shared, "key", len(ring) * distinct.count()).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
         "key", "probe", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp", "rep"
     )
@@ -138,16 +139,17 @@ def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     table = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     each = staged(fingerprints(table, shingle), "fingerprints")
-    distinct = staged(each.groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
+    distinct = staged(each.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     # several null ids share one key and must stay apart as nodes: their fingerprint tells them apart
-    nodes = distinct.select("fp", F.struct("rep", "fp").alias("node"))
+    nodes = distinct.select("fp", "n", F.struct("rep", "fp").alias("node"))
     found = link_edges(distinct.select("fp", F.col("fp").alias("rep")), segments, tau)
     ends = nodes.select(F.col("fp").alias("a"), F.col("node").alias("na"))
     other = nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
     edges = staged(found.distinct(), "links").join(ends, "a").join(other, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     parts = connected_components(edges)
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("head"))
-    return each.join(named, "fp").select("doc", "row", "fp", "head")
+    named = nodes.join(parts, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("head"))
+    # rows of a fingerprint that a large share of all rows has stay where they are
+    return join_spread(each, named, "fp", each.count()).select("doc", "row", "fp", "head")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, segments: int = SEGMENTS, tau: int = TAU) -> DataFrame:
@@ -164,4 +166,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
