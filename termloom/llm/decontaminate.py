@@ -4,17 +4,18 @@
 2. Passages of 32 words give document frequencies and a sketch of their TF-IDF Gram
    matrix: every task multiplies its passages by a random matrix and back, and the
    sums over tasks yield the leading right singular vectors (randomised SVD in one
-   pass over all passages).
+   pass over all passages). One basis serves all items.
 3. Passages (32 words, every 16) whose latent cosine to a benchmark passage reaches
    ``cosine`` times what an exact copy keeps of it, filled up with other words, are
-   candidates. So is every passage near which enough of an item's rarer words stand that
-   the check below might accept it: the cosine alone loses copies with replaced words.
+   candidates. So is every passage near which enough of an item's words stand in any order
+   that the check below might accept it: the cosine alone loses copies with replaced words.
 4. A candidate's surroundings must hold the item as a common subsequence: ``sure`` of
    its words, or ``likely`` of them with the answer (its own column, or the item's
-   closing words) as well.
+   closing words) as well. Items of fewer than ``MIN_WORDS`` words, too short for that,
+   are found where their words stand one after the other.
 
-The benchmark is worked through in blocks of items, so what is sent to the executors
-is bounded by a block whatever its size.
+The search goes through the items in blocks of bounded size; the latent space has
+``FEATURES`` dimensions at most before its rank is cut (beyond it words share them).
 """
 
 from __future__ import annotations
@@ -28,18 +29,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import hash_words, small_batches, text_chunks, word_bounds
+from termloom.llm.common import hash_words, mix, small_batches, text_chunks, word_bounds
 from termloom.llm.language_id import HashedRows
-from termloom.session import shuffle_partitions, staged
+from termloom.session import shuffle_partitions, spread, staged
 
 PASSAGE, STRIDE = 32, 16
 #: ``COSINE`` is asked of a passage that holds as much else as an item of its length must bear.
 RANK, OVERSAMPLE, COSINE = 256, 8, 0.72
 SURE, LIKELY, ANSWER, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 0.5, 5, 5
-BLOCK_ITEMS, COMMON = 2000, 0.1
+#: Items and words of a block of the search, at most; share of passages that makes a word common.
+BLOCK_ITEMS, BLOCK_WORDS, COMMON = 2000, 50_000, 0.1
+FEATURES = 1 << 14
 _ROWS, _TERM_BLOCK = 4_000_000, 256
-#: Shares of an item that must be left of its rarest words when all it may miss are among them.
-_LEFT = (0.1, 0.2, 0.35, 0.6)
 
 
 def _plain_table() -> np.ndarray:
@@ -50,65 +51,134 @@ def _plain_table() -> np.ndarray:
 _PLAIN = _plain_table()
 
 
+def _alone(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the characters of scripts written without blanks (U+3000 to U+9FFF, U+20000
+    on, Thai, Lao, Burmese, Khmer) and the byte after each."""
+    at = np.flatnonzero((buf >= 0xE0) & (buf != 0xFF))
+    lead, second = buf[at], buf[np.minimum(at + 1, len(buf) - 1)]
+    three = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))
+    four = (lead == 0xF0) & (second >= 0xA0)
+    keep = three | four
+    return at[keep], at[keep] + np.where(four[keep], 4, 3)
+
+
 def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the plain words of texts laid end to end, and each text's first word."""
+    """Hashes of the plain words of texts laid end to end, and each text's first word. A
+    character of a script without blanks is a word of its own."""
     buf = _PLAIN[buf]
+    wide = len(buf) > 0 and int(buf.max()) >= 0xE0
+    if wide:
+        mark = np.flatnonzero((buf[:-2] == 0xE3) & (buf[1:-1] == 0x80))  # ideographic punctuation
+        buf[(mark[:, None] + np.arange(3)).ravel()] = 0x20
     starts, ends = word_bounds(buf, offsets)
+    if wide:
+        lone, after = _alone(buf)
+        every = np.union1d(starts, np.concatenate([lone, after]))
+        of = np.searchsorted(starts, every, "right") - 1
+        inside = (of >= 0) & (every < ends[np.maximum(of, 0)])
+        every, of = every[inside], of[inside]
+        starts, ends = every, np.minimum(ends[of], np.append(every[1:], len(buf)))
     return hash_words(buf, starts, ends), np.searchsorted(starts, offsets)
 
 
 @dataclass
-class Items:
-    """A block of benchmark items as sequences of identifiers (from 1 on)."""
+class Words:
+    """The benchmark's words and their identifiers (from 1 on)."""
 
-    ids: list[int]
-    words: list[np.ndarray]
-    answers: list[np.ndarray]
     table: HashedRows
     size: int  # identifiers
 
+    @property
+    def kind(self) -> type:
+        return np.uint16 if self.size < 65_535 else np.int32
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         row = self.table.find(hashes)
         return np.where(row >= 0, self.table.values[np.maximum(row, 0), 0], 0).astype(np.int32) if self.size else np.zeros(len(hashes), np.int32)
 
+    @property
+    def features(self) -> np.ndarray:
+        """The latent feature of each identifier: itself, or beyond ``FEATURES`` one of as many."""
+        ids = np.arange(self.size + 1)
+        return ids if self.size <= FEATURES else np.concatenate(([0], 1 + mix(ids[1:].astype(np.uint64)) % np.uint64(FEATURES))).astype(np.int64)
+
+
+@dataclass
+class Items:
+    """A block of benchmark items as sequences of identifiers."""
+
+    ids: list[int]
+    words: list[np.ndarray]
+    answers: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, list[int]]]  # by number of words: sequences, item of each
+
 
 def _of(text: str | None) -> np.ndarray:
     _, _, buf, offsets = next(text_chunks(pc.utf8_lower(pa.array([text], pa.string()))))
     return plain_words(buf, offsets)[0]
 
 
-def make_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
-    """Items of at least ``MIN_WORDS`` words; the rest cannot be told from chance."""
-    hashed = [(i, _of(t), _of(a)) for i, t, a in rows]
-    hashed = [h for h in hashed if len(h[1]) >= MIN_WORDS]
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x for h in hashed for x in h[1:]]]))
-    table = HashedRows(terms, np.arange(1, len(terms) + 1, dtype=np.float64)[:, None])
-    index = lambda x: (np.searchsorted(terms, x) + 1).astype(np.int32)
-    answers = [index(a) if len(a) else index(w[-ANSWER_WORDS:]) for _, w, a in hashed]
-    return Items([h[0] for h in hashed], [index(h[1]) for h in hashed], answers, table, len(terms))
+def make_words(hashes: list[np.ndarray]) -> Words:
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+    return Words(HashedRows(terms, np.arange(1, len(terms) + 1, dtype=np.float64)[:, None]), len(terms))
+
+
+def make_items(rows: list[tuple[int, np.ndarray, np.ndarray]], words: Words) -> Items:
+    """``rows``: item, word hashes of its text and of its answer. An item without a word
+    cannot be found."""
+    coded = [(i, words.lookup(t), words.lookup(a)) for i, t, a in rows if len(t)]
+    long = [c for c in coded if len(c[1]) >= MIN_WORDS]
+    short = {n: [c for c in coded if len(c[1]) == n] for n in range(1, MIN_WORDS)}
+    return Items(
+        [c[0] for c in long], [c[1] for c in long], [a if len(a) else w[-ANSWER_WORDS:] for _, w, a in long],
+        {n: (np.stack([c[1] for c in some]), [c[0] for c in some]) for n, some in short.items() if some},
+    )
+
 
+def find_short(ids: np.ndarray, offsets: np.ndarray, short: dict) -> Iterator[tuple[int, int]]:
+    """(text, item) wherever a short item's words stand one after the other."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for n, (sequences, items) in short.items():
+        if len(ids) < n:
+            continue
+        keys = _packed(sequences.T)
+        order = np.argsort(keys, kind="stable")
+        runs = _packed([ids[k : len(ids) - n + 1 + k] for k in range(n)])
+        lo, hi = np.searchsorted(keys[order], runs, "left"), np.searchsorted(keys[order], runs, "right")
+        ok = np.flatnonzero((hi > lo) & (text[: len(runs)] == text[n - 1 :]) & (ids[: len(runs)] > 0))
+        for at in ok.tolist():
+            for k in order[lo[at] : hi[at]].tolist():
+                if (sequences[k] == ids[at : at + n]).all():
+                    yield int(text[at]), items[k]
 
-def _encode(docs: DataFrame, items, kind: str) -> DataFrame:
-    """``(id, ids)``: each text as packed identifiers."""
+
+def _packed(columns) -> np.ndarray:
+    """One 64-bit key for each row of columns of identifiers."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix(key + c.astype(np.uint64) + np.uint64(1))
+    return key
+
+
+def _encode(docs: DataFrame, words, kind: str) -> DataFrame:
+    """``(uid, id, ids)``: each text as packed identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = items.value
-        wide = np.uint16 if block.size < 65_535 else np.int32
+        known: Words = words.value
         for batch in batches:
             out = []
             for _, _, buf, offsets in text_chunks(pc.utf8_lower(batch.column("text"))):
-                words, first = plain_words(buf, offsets)
-                ids = block.lookup(words).astype(wide)
+                hashes, first = plain_words(buf, offsets)
+                ids = known.lookup(hashes).astype(known.kind)
                 out += [ids[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), pa.array(out, pa.binary())], names=["uid", "id", "ids"])
 
-    return docs.mapInArrow(run, f"id {kind}, ids binary")
+    return docs.mapInArrow(run, f"uid long, id {kind}, ids binary")
 
 
-def _laid(column: pa.Array, size: int, most: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _laid(column: pa.Array, kind: type, most: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, identifiers end to end, offsets) for runs of rows of about ``most`` words."""
-    wide = np.uint16 if size < 65_535 else np.int32
-    raw, i = [np.frombuffer(x.as_buffer(), wide) for x in column], 0
+    raw, i = [np.frombuffer(x.as_buffer(), kind) for x in column], 0
     while i < len(raw):
         j, n = i, 0
         while j < len(raw) and (j == i or n + len(raw[j]) <= most):
@@ -146,39 +216,41 @@ def group_sums(rows: np.ndarray, which: np.ndarray, heads: np.ndarray) -> np.nda
     return out
 
 
-def document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """In how many passages each identifier stands, and the number of passages."""
+def document_frequencies(encoded: DataFrame, words) -> tuple[np.ndarray, int]:
+    """In how many passages each latent feature stands, and the number of passages."""
+    size = int(words.value.features.max(initial=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size + 1, np.int64)
+        known: Words = words.value
+        fold, counts = known.features, np.zeros(size + 1, np.int64)
         for batch in batches:
-            for _, ids, offsets in _laid(batch.column("ids"), size):
+            for _, ids, offsets in _laid(batch.column("ids"), known.kind):
                 cell, first = _cells(offsets, PASSAGE)
                 counts[0] += first[-1]
-                counts += np.bincount(_distinct(cell, ids, size)[1], minlength=size + 1)
+                counts += np.bincount(_distinct(cell, fold[ids], size)[1], minlength=size + 1)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
 
     out = np.zeros(size + 1, np.int64)
-    for term, n in encoded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # a row for each benchmark word
+    for term, n in encoded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # FEATURES rows at most
         out[term] = n
     return out[1:], int(out[0])
 
 
-def weights_of(df: np.ndarray, passages: int, items: Items) -> np.ndarray:
-    """Inverse document frequency of each identifier (index 0: none). Very common words
-    weigh nothing, unless an item has hardly any other."""
+def weights_of(df: np.ndarray, passages: int, items: list[np.ndarray]) -> np.ndarray:
+    """Inverse document frequency of each feature (index 0: none). Very common ones weigh
+    nothing, unless one of the ``items`` (as features) has hardly any other."""
     idf = np.log((passages + 1) / (df + 0.5))
     rare = (df > 0) & (df <= COMMON * passages)
     keep = rare.copy()
-    for w in items.words:
+    for w in items:
         if rare[w - 1].sum() < 4:
             keep[w - 1] |= df[w - 1] > 0
     return np.concatenate(([0.0], np.where(keep, np.maximum(idf, 0.1), 0.0)))
 
 
-def latent_basis(encoded: DataFrame, weights: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors (identifiers x rank) of the TF-IDF passages, by the
+def latent_basis(encoded: DataFrame, words, weights: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """Leading right singular vectors (features x rank) of the TF-IDF passages, by the
     Nystroem form of the randomised SVD of their Gram matrix."""
     size = len(weights) - 1
     width = min(size, rank + OVERSAMPLE)
@@ -188,12 +260,15 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, rank: int = RANK, seed
     blocks = -(-size // _TERM_BLOCK)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Words = words.value
+        fold = known.features
         w, om = shared.value
         scaled = np.vstack([np.zeros((1, width), np.float32), om * w[1:, None]])
         total = np.zeros((size + 1, width), np.float64)
         for batch in batches:
-            for _, ids, offsets in _laid(batch.column("ids"), size):
+            for _, ids, offsets in _laid(batch.column("ids"), known.kind):
                 cell, _ = _cells(offsets, PASSAGE)
+                ids = fold[ids]
                 ids = np.where(w[ids] > 0, ids, 0)
                 cell, term = _distinct(cell, ids, size)
                 if not len(cell):
@@ -233,10 +308,10 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, rank: int = RANK, seed
     return u[:, : min(rank, width)]
 
 
-def item_passages(items: Items) -> tuple[np.ndarray, list[np.ndarray]]:
+def item_passages(words: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(item, identifiers) of the passages that stand for the items."""
     of, parts = [], []
-    for k, w in enumerate(items.words):
+    for k, w in enumerate(words):
         for a in range(0, max(1, len(w) - STRIDE), STRIDE):
             of.append(k)
             parts.append(w[a : a + PASSAGE])
@@ -249,105 +324,164 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def common_subsequence(pattern: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence, one integer operation for each word of the text."""
-    masks: dict[int, int] = {}
-    for i, x in enumerate(pattern.tolist()):
-        masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(pattern)) - 1
-    v = full
-    for x in text.tolist():
-        m = masks.get(x)
-        if m:
-            u = v & m
+    return Pattern(pattern).in_common(text)
+
+
+class Pattern:
+    """A sequence to be held against many texts."""
+
+    def __init__(self, words: np.ndarray):
+        self.distinct, place, self.counts = np.unique(words, return_inverse=True, return_counts=True)
+        self.size, self.masks = len(words), [0] * len(self.distinct)
+        for i, x in enumerate(place.tolist()):
+            self.masks[x] |= 1 << i
+
+    def places(self, text: np.ndarray) -> np.ndarray:
+        """The text's words that the pattern has, as places among its distinct words."""
+        at = np.searchsorted(self.distinct, text)
+        at[at == len(self.distinct)] = 0
+        return at[self.distinct[at] == text] if len(self.distinct) else at[:0]
+
+    def most(self, places: np.ndarray) -> int:
+        """Words in common in any order: no subsequence is longer."""
+        return int(np.minimum(np.bincount(places, minlength=len(self.counts)), self.counts).sum())
+
+    def subsequence(self, places: np.ndarray) -> int:
+        v = full = (1 << self.size) - 1
+        for x in places.tolist():
+            u = v & self.masks[x]
             v = ((v + u) | (v - u)) & full
-    return len(pattern) - v.bit_count()
+        return self.size - v.bit_count()
+
+    def in_common(self, text: np.ndarray) -> int:
+        return self.subsequence(self.places(text))
 
 
-def verdict(item: np.ndarray, answer: np.ndarray, near: np.ndarray, sure: float, likely: float) -> float | None:
+def verdict(item: Pattern, answer: Pattern, near: np.ndarray, sure: float, likely: float) -> float | None:
     """The share of the item found in order near a candidate, if that is enough."""
-    share = common_subsequence(item, near) / len(item)
-    if share >= sure or share >= likely and common_subsequence(answer, near) >= ANSWER * len(answer):
+    places = item.places(near)
+    if item.most(places) < min(sure, likely) * item.size:
+        return None
+    share = item.subsequence(places) / item.size
+    if share >= sure or share >= likely and answer.in_common(near) >= ANSWER * answer.size:
         return share
     return None
 
 
-def rare_words(items: Items, weights: np.ndarray, least: float, left: float) -> tuple[np.ndarray, np.ndarray]:
-    """(identifiers x items) marks of each item's rarest words, and how many of them any text
-    that holds ``least`` of the item has: all but as many as it may miss."""
-    marks, need = np.zeros((items.size + 1, len(items.words)), np.uint8), np.zeros(len(items.words), np.int64)
-    for k, w in enumerate(items.words):
-        miss = len(w) - int(np.ceil(least * len(w) - 1e-9))
+@dataclass
+class Needs:
+    """The words of items, each as often as it stands in one: a *token* is a word's first,
+    second, ... standing. Items are held by their reach, the cells (of ``STRIDE`` words) that
+    may belong to them on either side of a passage."""
+
+    first: np.ndarray  # by word: its first token
+    most: np.ndarray  # by word: its tokens
+    reaches: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # reach, items, marks by token and item, tokens needed
+
+
+def needs_of(items: list[np.ndarray], size: int, least: float) -> Needs:
+    """What any text must hold, in any order, that has ``least`` of an item."""
+    most = np.zeros(size + 1, np.int64)
+    for w in items:
         words, counts = np.unique(w, return_counts=True)
-        order = np.argsort(-weights[words], kind="stable")
-        upto = int(np.searchsorted(np.cumsum(counts[order]), min(len(w), miss + max(1, left * len(w))))) + 1
-        marks[words[order[:upto]], k] = 1
-        need[k] = counts[order[:upto]].sum() - miss
-    return marks, need
-
-
-def possible(counts: np.ndarray, needs: list[np.ndarray], lengths: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """(cell, item) wherever the surroundings of a passage hold the words needed. ``counts``
-    has for each of ``needs`` the words of every cell and item, side by side."""
-    sums = np.zeros((len(counts) + 1, counts.shape[1]), np.uint16)  # wraps round; the differences are small
-    np.cumsum(counts, axis=0, dtype=np.uint16, out=sums[1:])
-    at = np.flatnonzero(text[1:] == text[:-1])
-    start, stop = first[text[at]], first[text[at] + 1]
-    reach, out = -(-lengths // STRIDE), [np.zeros((0, 2), np.int64)]
-    for r in np.unique(reach):
-        k = np.flatnonzero(reach == r)
-        lo, hi = np.maximum(start, at - r), np.minimum(stop, at + PASSAGE // STRIDE + r)
-        block = sums[:, k]
-        p, q = np.nonzero(block[hi] - block[lo] >= needs[0][k].astype(np.uint16))
-        q = k[q]
-        for level, need in enumerate(needs[1:], 1):
-            column = q + level * len(lengths)
-            stays = sums[hi[p], column] - sums[lo[p], column] >= need[q]
-            p, q = p[stays], q[stays]
-        out.append(np.stack([at[p], q], axis=1))
+        most[words] = np.maximum(most[words], counts)
+    first = np.cumsum(most) - most
+    need = np.array([int(np.ceil(least * len(w) - 1e-9)) for w in items], np.int64)
+    reach = -(-np.array([len(w) for w in items], np.int64) // STRIDE)
+    reaches = []
+    for r in np.unique(reach).tolist():
+        mine = np.flatnonzero(reach == r)
+        # sums over a cell's words stay below 128 while the reach is small
+        marks = np.zeros((int(most.sum()), len(mine)), np.int8 if (r + 2) * STRIDE < 128 else np.int32)
+        for column, k in enumerate(mine.tolist()):
+            for x, n in zip(*(v.tolist() for v in np.unique(items[k], return_counts=True)), strict=True):
+                marks[first[x] : first[x] + n, column] = 1
+        reaches.append((r, mine, marks, need[mine]))
+    return Needs(first, most, reaches)
+
+
+def possible(words: np.ndarray, cell: np.ndarray, first: np.ndarray, needs: Needs) -> np.ndarray:
+    """(cell, item) wherever the surroundings of the passage that begins there hold the words
+    needed, each counted as often as the item has it. ``first``: each text's first cell."""
+    text = np.searchsorted(first, cell, "right") - 1
+    order = np.lexsort((cell, words, text))
+    words, cell, text = words[order], cell[order], text[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (text[1:] != text[:-1])
+    run = np.arange(len(words)) - np.maximum.accumulate(np.where(new, np.arange(len(words)), 0))
+    low, high, out = first[text], first[text + 1] - 2, [np.zeros((0, 2), np.int64)]
+    for reach, items, marks, need in needs.reaches:
+        # passages from ``starts`` to ``ends`` have this word within reach
+        starts, ends = np.maximum(low, cell - reach - 1), np.minimum(high, cell + reach)
+        tokens, a, b = [], [], []
+        for n in range(int(needs.most.max(initial=0))):
+            i = np.flatnonzero((needs.most[words] > n) & (run >= n))
+            # this word and the n before it are; what the run has given before is left out
+            given = np.where(run[i] > n, ends[i - n - 1] + 1, 0)
+            begin, stop = np.maximum(starts[i], given), ends[i - n] + 1
+            fits = begin < stop
+            tokens.append(needs.first[words[i[fits]]] + n)
+            a.append(begin[fits])
+            b.append(stop[fits])
+        token = np.concatenate([np.zeros(0, np.int64), *tokens])
+        counts = np.zeros((int(first[-1]) + 1, len(items)), np.int16)
+        for sign, at in ((1, a), (-1, b)):
+            at = np.concatenate([np.zeros(0, np.int64), *at])
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
+            counts[at[heads]] += sign * group_sums(marks, token[order], heads)
+        p, q = np.nonzero(np.cumsum(counts, axis=0, dtype=np.int16) >= need)
+        out.append(np.stack([p, items[q]], axis=1))
     return np.concatenate(out)
 
 
-def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, kind: str, cosine: float, sure: float, likely: float) -> DataFrame:
-    """``(id, item_ids, coverage)`` of every row: the items found in it."""
-    spark = encoded.sparkSession
-    block: Items = items.value
+def search(encoded: DataFrame, words, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float, sure: float, likely: float) -> DataFrame:
+    """``(uid, item_ids, coverage)`` of every row in which an item of the block is found."""
+    spark, fold = encoded.sparkSession, words.value.features
     rows = np.vstack([np.zeros((1, basis.shape[1])), basis * weights[1:, None]]).astype(np.float32)
-    of, parts = item_passages(block)
-    queries = _unit(np.stack([rows[p].sum(axis=0) for p in parts])) if parts else np.zeros((0, basis.shape[1]), np.float32)
+    of, parts = item_passages(items.words)
+    queries = _unit(np.stack([rows[fold[p]].sum(axis=0) for p in parts])) if parts else np.zeros((0, basis.shape[1]), np.float32)
     aligned = 0.75 * PASSAGE  # words of a long item that some passage holds, however the item lies
     limits = cosine * np.sqrt(np.minimum([len(p) for p in parts], aligned) / PASSAGE)
     queries = (queries / limits[:, None]).astype(np.float32) if parts else queries
-    rare = [rare_words(block, weights, min(sure, likely), left) for left in _LEFT]
-    shared = spark.sparkContext.broadcast((rows, queries, of, np.hstack([m for m, _ in rare]), [n for _, n in rare]))
+    own = np.unique(np.concatenate([np.zeros(0, np.int32), *items.words]))  # the block's own words, numbered from 1
+    local = [np.searchsorted(own, w) + 1 for w in items.words]
+    needs = needs_of(local, len(own), min(sure, likely))
+    shared = spark.sparkContext.broadcast((rows, queries, of, own, needs, items))  # bounded by FEATURES and the block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, queries, of, marks, needs = shared.value
-        lengths = np.array([len(w) for w in items.value.words], np.int64)
-        block = items.value
+        known: Words = words.value
+        rows, queries, of, own, needs, items = shared.value
+        fold, numbers = known.features, np.zeros(known.size + 1, np.int64)
+        numbers[own] = np.arange(1, len(own) + 1)
+        patterns, answers = [Pattern(w) for w in items.words], [Pattern(a) for a in items.answers]
         loaded = np.any(rows != 0, axis=1)
-        member = [np.bincount(w, minlength=block.size + 1) > 0 for w in block.words]
         step = max(1, _ROWS // max(1, len(queries)))
         for batch in batches:
             found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
-            for i, ids, offsets in _laid(batch.column("ids"), block.size):
+            for i, ids, offsets in _laid(batch.column("ids"), known.kind):
+                if not ids.any():
+                    continue
+                for t, item in find_short(ids, offsets, items.short):
+                    found[i + t][item] = 1.0
+                if not len(queries):
+                    continue
                 cell, first = _cells(offsets, STRIDE, pad=1)
                 sums = np.zeros((first[-1], rows.shape[1]), np.float32)
-                if not len(queries) or not ids.any():
-                    continue
-                use = np.flatnonzero(loaded[ids])
+                features = fold[ids]
+                use = np.flatnonzero(loaded[features])
                 if len(use):
                     c = cell[use]
                     heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                    sums[c[heads]] = group_sums(rows, ids[use], heads)
+                    sums[c[heads]] = group_sums(rows, features[use], heads)
                 text = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 passages = sums[:-1] + sums[1:]
                 length = np.sqrt(np.einsum("ij,ij->i", passages, passages))
                 good = np.flatnonzero((text[1:] == text[:-1]) & (length > 0))
-                known = np.flatnonzero(ids > 0)
-                c = cell[known]
-                heads = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                counts = np.zeros((first[-1], marks.shape[1]), np.uint8)
-                counts[c[heads]] = group_sums(marks, ids[known], heads)
-                hits = [possible(counts, needs, lengths, first, text)]
+                mine = numbers[ids]
+                use = np.flatnonzero(mine > 0)
+                hits = [possible(mine[use], cell[use], first, needs)]
                 for a in range(0, len(good), step):
                     at = good[a : a + step]
                     likeness = passages[at] @ queries.T  # queries are divided by their limits
@@ -357,59 +491,67 @@ def search(encoded: DataFrame, items, weights: np.ndarray, basis: np.ndarray, ki
                 hits = np.unique(np.concatenate(hits), axis=0)
                 for at, k in hits.tolist():
                     t = int(text[at])
-                    item = block.words[k]
+                    item = patterns[k]
                     here = int(offsets[t]) + (at - int(first[t])) * STRIDE
-                    lo, hi = max(int(offsets[t]), here - len(item)), min(int(offsets[t + 1]), here + PASSAGE + len(item))
-                    near = ids[lo:hi]
-                    if np.count_nonzero(member[k][near]) < min(sure, likely) * len(item):
-                        continue  # too few of its words in any order
-                    share = verdict(item, block.answers[k], near, sure, likely)
+                    lo, hi = max(int(offsets[t]), here - item.size), min(int(offsets[t + 1]), here + PASSAGE + item.size)
+                    share = verdict(item, answers[k], ids[lo:hi], sure, likely)
                     if share is not None:
-                        mine = found[i + t]
-                        mine[block.ids[k]] = max(share, mine.get(block.ids[k], 0.0))
+                        mine_ = found[i + t]
+                        mine_[items.ids[k]] = max(share, mine_.get(items.ids[k], 0.0))
+            some = [k for k, f in enumerate(found) if f]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found], pa.float64())],
-                names=["id", "item_ids", "coverage"],
+                [batch.column("uid").take(pa.array(some, pa.int64())), pa.array([sorted(found[k]) for k in some], pa.list_(pa.int64())), pa.array([max(found[k].values()) for k in some], pa.float64())],
+                names=["uid", "item_ids", "coverage"],
             )
 
-    return encoded.mapInArrow(run, f"id {kind}, item_ids array<long>, coverage double")
+    return encoded.select("uid", "ids").mapInArrow(run, "uid long, item_ids array<long>, coverage double")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cosine: float = COSINE, sure: float = SURE, likely: float = LIKELY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cosine: float = COSINE, sure: float = SURE, likely: float = LIKELY, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, contaminated, item_ids, coverage``.
 
     ``benchmark`` has ``item_id, text`` and perhaps ``answer``. ``item_ids`` (sorted) are
     the items found, ``coverage`` the largest share of one. Words are compared in lower
-    case without punctuation. Null text: not contaminated. Items that are null or have
-    fewer than ``MIN_WORDS`` words are not looked for; repeated items count once.
-    Repeated rows and null ids keep their rows; extra columns are ignored.
+    case without punctuation; characters of scripts without blanks are words. Null text:
+    not contaminated. Items that are null or have no word are not looked for; those of
+    fewer than ``MIN_WORDS`` words are found as they stand; repeated items count once.
+    Repeated rows and null or shared ids are judged by themselves; extra columns are
+    ignored. The result does not depend on the size of the blocks.
+
+    The benchmark's words (12 bytes each) are held by every task.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = dict(docs.dtypes)[id_col]
-    table = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    table = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), answer.alias("answer")).dropna(subset=["item_id", "text"]).distinct()
-    count = asked.count()
-    blocks = max(1, -(-count // block_items))
-    results = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # one block of items
-        items = make_items(sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[1], r[2] or "")))
-        shared = spark.sparkContext.broadcast(items)
-        encoded = staged(_encode(table, shared, kind), "identifiers")
-        df, passages = document_frequencies(encoded, items.size)
-        weights = weights_of(df, passages, items)
-        basis = latent_basis(encoded, weights) if items.size and passages else np.zeros((items.size, 1))
-        found = search(encoded, shared, weights, basis, kind, cosine, sure, likely)
-        results = found if results is None else results.unionByName(found)
-    if blocks > 1:
-        hits = results.filter(F.size("item_ids") > 0).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("coverage").alias("coverage"))
-        each = table.select("id")
-        results = each.join(hits.withColumnRenamed("id", "h"), F.col("id").eqNullSafe(F.col("h")), "left").select("id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
-    return results.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "coverage")
+    hashed = [(i, _of(t), _of(a)) for i, t, a in sorted(((r[0], r[1], r[2]) for r in asked.toLocalIterator()), key=lambda r: (r[0], r[1], r[2] or ""))]
+    words = spark.sparkContext.broadcast(make_words([x for h in hashed for x in h[1:]]))
+    encoded = staged(_encode(table, words, dict(docs.dtypes)[id_col]), "identifiers")
+    blocks, room = [], (0, 0)
+    for h in hashed:
+        if not blocks or room[0] < 1 or room[1] < len(h[1]):
+            blocks.append([])
+            room = (block_items, block_words)
+        blocks[-1].append(h)
+        room = (room[0] - 1, room[1] - len(h[1]))
+    items = [make_items(b, words.value) for b in blocks]
+    fold = words.value.features
+    df, passages = document_frequencies(encoded, words)
+    weights = weights_of(df, passages, [fold[w] for b in items for w in b.words])
+    basis = latent_basis(encoded, words, weights) if len(df) and passages else np.zeros((len(df), 1))
+    found = None
+    for b in items:
+        some = search(encoded, words, b, weights, basis, cosine, sure, likely)
+        found = some if found is None else found.unionByName(some)
+    rows = encoded.select("uid", F.col("id").alias(id_col))
+    if found is None:
+        return rows.select(id_col, F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("coverage"))
+    hits = found.groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("coverage").alias("coverage"))
+    none = F.array().cast("array<long>")
+    return rows.join(hits, "uid", "left").select(id_col, F.col("coverage").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, benchmark)
+    return contamination(spread(docs), benchmark)

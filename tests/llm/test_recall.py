@@ -17,7 +17,7 @@ def accepted(texts: list[list[str]], items: list[list[str]]) -> dict[int, set[in
         for k, item in enumerate(coded):
             for here in range(0, len(row), d.STRIDE):
                 near = row[max(0, here - len(item)) : here + d.PASSAGE + len(item)]
-                if d.verdict(item, item[-d.ANSWER_WORDS :], near, d.SURE, d.LIKELY) is not None:
+                if d.verdict(d.Pattern(item), d.Pattern(item[-d.ANSWER_WORDS :]), near, d.SURE, d.LIKELY) is not None:
                     out.setdefault(n, set()).add(k)
     return out
 
