@@ -253,6 +253,10 @@ def _ac_refine(bits: Bits, block, part: Component, spec: bytes, ss: int, se: int
             i += 1
 
 
+#: A larger frame is refused: a few damaged bytes could ask for 50 GB.
+MOST_PIXELS = 1 << 27
+
+
 def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
     """Entropy-coded segments from ``at`` on (cut at restart markers) and where they end."""
     out, start = [], at
@@ -299,6 +303,8 @@ def read_frame(data: bytes) -> Frame:
             height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             if body[0] != 8 or not width or not height:
                 raise ValueError("only 8-bit frames of known size")
+            if width * height > MOST_PIXELS:
+                raise ValueError("the frame is too large")
             parts = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
             hm, vm = max(c.h for c in parts), max(c.v for c in parts)
             mx, my = -(-width // (8 * hm)), -(-height // (8 * vm))
@@ -312,6 +318,8 @@ def read_frame(data: bytes) -> Frame:
         elif kind == 0xFE:
             comments.append(body)
         elif kind == 0xDA:
+            if frame is None:
+                raise ValueError("a scan before its frame")
             n = body[0]
             by_id = {c.ident: c for c in frame.components}
             parts = [by_id[body[1 + 2 * i]] for i in range(n)]

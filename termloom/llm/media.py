@@ -6,12 +6,14 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm import jpeg
 from termloom.llm.common import small_batches
+from termloom.session import spread
 
 UNIT = 576
 
@@ -43,22 +45,34 @@ def to_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out.withColumnRenamed("id", id_col)
 
 
+def decoded(image: bytes | None) -> tuple[np.ndarray | None, str | None]:
+    """(samples, None) of a progressive JPEG file, or (None, what is wrong with it)."""
+    if image is None:
+        return None, None
+    try:
+        return jpeg.to_rgb(jpeg.read_frame(image)), None
+    except Exception as e:  # noqa: BLE001  foreign bytes can break a decoder anywhere
+        return None, f"no readable progressive JPEG: {e}"
+
+
 def rgb_tensors(images: DataFrame, image_col: str = "image") -> DataFrame:
     """Decode a column of progressive JPEG files: all columns of ``images`` and ``height``,
-    ``width``, ``rgb`` (full-resolution samples, row by row), which replace columns of those
-    names. A null image gives nulls; a file that is no progressive JPEG is an error."""
-    images = images.drop("height", "width", "rgb")
+    ``width``, ``rgb`` (full-resolution samples, row by row) and ``error``, which replace
+    columns of those names. A null image gives nulls; so does a file that cannot be read,
+    with the reason in ``error``."""
+    images = images.drop("height", "width", "rgb", "error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 16):
                 part = batch.slice(i, 16)
-                rgb = [jpeg.to_rgb(jpeg.read_frame(x)) if x is not None else None for x in part.column(image_col).to_pylist()]
-                add = [pa.array([r.shape[k] if r is not None else None for r in rgb], pa.int32()) for k in (0, 1)] + [pa.array([r.tobytes() if r is not None else None for r in rgb], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *add], names=[*part.schema.names, "height", "width", "rgb"])
+                rgb = [decoded(x) for x in part.column(image_col).to_pylist()]
+                sizes = [pa.array([r.shape[k] if r is not None else None for r, _ in rgb], pa.int32()) for k in (0, 1)]
+                add = [*sizes, pa.array([r.tobytes() if r is not None else None for r, _ in rgb], pa.binary()), pa.array([e for _, e in rgb], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *add], names=[*part.schema.names, "height", "width", "rgb", "error"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields)
-    return images.mapInArrow(run, f"{kinds}, height int, width int, rgb binary")
+    return images.mapInArrow(run, f"{kinds}, height int, width int, rgb binary, error string")
 
 
 def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -82,4 +96,4 @@ def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    return media_features(to_images(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_features(to_images(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))

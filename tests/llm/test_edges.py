@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,19 @@ def test_archives(spark, tmp_path):
     assert out == [(0, "revisit", 3, 203, "u"), (3, "response", None, 203, None), (3, "response", None, 203, None), (5, "revisit", 3, 203, "u"), (7, "response", None, 0, "a\r\nb%0D"), (8, "response", None, 5, "u"), (9, "response", None, 5, "u")]
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_images_that_cannot_be_read(spark):
+    good = media.jpeg.store(media.padded(b"some text"))[0]
+    rng = np.random.default_rng(2)
+    bad = [b"", b"GIF89a", good[: len(good) // 2], good[:40]]
+    for _ in range(40):
+        x = bytearray(good)
+        for at in rng.integers(0, len(x), 5).tolist():
+            x[at] = int(rng.integers(0, 256))
+        bad.append(bytes(x))
+    rows = [(0, good), (1, None), *[(2 + i, x) for i, x in enumerate(bad)]]
+    out = {r["id"]: r for r in media.rgb_tensors(spark.createDataFrame(rows, "id int, image binary")).collect()}
+    assert len(out) == len(rows) and len(out[0]["rgb"]) == out[0]["height"] * out[0]["width"] * 3
+    assert out[1]["rgb"] is out[1]["error"] is None and all(out[2 + i]["error"] for i in range(3))
+    assert all((r["rgb"] is None) != (r["error"] is None) for i, r in out.items() if i != 1)
