@@ -211,7 +211,8 @@ def find_matches(docs: DataFrame, parts: int, window: int = WINDOW, gram: int =
     found = docs.select("doc", "text").mapInArrow(send_blocks, sent).repartition(parts, "bucket").mapInArrow(receive_blocks, _SPAN_DDL)
     span = F.struct("start", "n", "ref_doc", "ref_start")
     opened = found.filter(~F.col("settled")).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = texts.join(opened, "doc").select("doc", "text", "spans").mapInArrow(send_windows, sent)
+    # all columns go in, so that the one shuffle of the texts serves here and for the parse
+    windows = texts.join(opened, "doc").select(*texts.columns, "spans").mapInArrow(send_windows, sent)
     settled = windows.repartition(parts, "bucket").mapInArrow(receive_windows, _SPAN_DDL)
     spans = found.filter("settled").unionByName(settled).groupBy("doc").agg(F.collect_list(span).alias("spans"))
     return texts, spans
@@ -260,7 +261,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...])
     text, so that each is a document of its own."""
     text = F.col(f"`{text_col}`")
     doc, row = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), F.xxhash64(text)
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), doc.alias("doc"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), doc.alias("doc"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry) if c != text_col])
     pairs = docs.select(doc.alias("doc"), row.alias("row"), F.octet_length(text).cast("long").alias("size"))
     each = pairs.groupBy("doc").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.sum("size").alias("size"))
     shared, size = each.agg(F.max(F.col("a") != F.col("b")), F.sum("size")).first()
@@ -310,13 +311,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), factors))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(_FACTOR))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], *[batch.column(f"c{i}") for i in range(len(carry))]],
+                [batch.column("id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], *[batch.column("text" if c == text_col else f"c{i}") for i, c in enumerate(carry)]],
                 names=["id", "n_words", "n_removed", "kept_text", "factors", *[f"c{i}" for i in range(len(carry))]],
             )
 
     given = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     kinds = ", ".join([f"id {given[id_col]}", _RESULT, *[f"c{i} {given[c]}" for i, c in enumerate(carry)]])
-    found = texts.join(matches, "doc", "left").select("id", "text", "spans", *[f"c{i}" for i in range(len(carry))]).mapInArrow(keep, kinds)
+    found = texts.join(matches, "doc", "left").select(*texts.columns, "spans").mapInArrow(keep, kinds)
     return found.withColumnsRenamed({"id": id_col, **{f"c{i}": c for i, c in enumerate(carry)}})
 
 
