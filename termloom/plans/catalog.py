@@ -247,7 +247,10 @@ def predicates_flags(spark, d):
 # ---------------------------------------------------------------- joins and scores
 
 
-@query("containing_pairs", f"WITH {_V4} SELECT a.doc_id, a.term, b.term AS longer FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND a.term <> b.term AND contains(b.term, a.term)")
+_PARTS = "list_distinct(flatten(list_transform(range(1, length({0})), lambda n: list_transform(range(1, length({0}) - n + 2), lambda i: {0}[i:i + n - 1]))))"
+
+
+@query("containing_pairs", f"WITH {_V4}, sub AS (SELECT doc_id, term AS longer, unnest({_PARTS.format('term')}) AS term FROM cand) SELECT doc_id, term, longer FROM sub JOIN cand USING (doc_id, term)")
 def containing_pairs(spark, d):
     return J.containing_pairs(C.candidates_v4(docs_of(spark, d))).select("doc_id", "term", "longer")
 
@@ -326,12 +329,14 @@ def prefiltered_terms(spark, d):
 
 @query("cooccurrence", f"""WITH {_V4}, {_stats_sql(_WHOLE_A).split('stats AS')[0].rstrip().rstrip(',')},
 one AS (SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS x FROM sent),
-top AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 10),
-hit AS (SELECT DISTINCT t.doc_id, k, term FROM top t JOIN one o ON t.doc_id = o.doc_id AND contains(x, term))
-SELECT a.doc_id, a.term AS a, b.term AS b, count(*) AS n FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.k = b.k AND a.term < b.term GROUP BY ALL""")
+hit AS (SELECT DISTINCT t.doc_id, k, term FROM cand t JOIN one o ON t.doc_id = o.doc_id AND contains(x, term)),
+pair AS (SELECT a.doc_id, a.term AS a, b.term AS b, count(*) AS n FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.k = b.k AND a.term < b.term GROUP BY ALL)
+SELECT doc_id, a, count(*) AS others, CAST(sum(n) AS BIGINT) AS together, max(n) AS most, max_by(b, row(n, b)) AS best FROM pair GROUP BY doc_id, a""")
 def cooccurrence(spark, d):
+    """All pairs of all candidates, told by their smaller term."""
     docs = docs_of(spark, d)
-    return J.cooccurrence(R.top_n(C.candidates_v4(docs), 10, "freq"), docs)
+    pairs = J.cooccurrence(staged(C.candidates_v4(docs), "candidates"), docs)
+    return pairs.groupBy("doc_id", "a").agg(F.count("*").alias("others"), F.sum("n").alias("together"), F.max("n").alias("most"), F.max_by("b", F.struct("n", "b")).alias("best"))
 
 
 @query("longest_parent", f"WITH {_V4} SELECT doc_id, child, parent FROM (SELECT b.doc_id, b.term AS child, a.term AS parent, row_number() OVER (PARTITION BY b.doc_id, b.term ORDER BY length(a.term) DESC, a.term) AS r FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND a.term <> b.term AND contains(b.term, a.term)) WHERE r = 1")
@@ -339,15 +344,14 @@ def longest_parent(spark, d):
     return J.longest_parent(C.candidates_v4(docs_of(spark, d)))
 
 
-@query("semrerank_revise", f"""WITH {_SCORED}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM based) WHERE r <= 5),
-imp AS (SELECT doc_id, term AS word, freq::DOUBLE AS importance FROM top),
+@query("semrerank_revise", f"""WITH {_SCORED}, imp AS (SELECT doc_id, term AS word, freq::DOUBLE AS importance FROM based),
 nrm AS (SELECT doc_id, word, importance / max(importance) OVER (PARTITION BY doc_id) AS imp FROM imp),
 w AS (SELECT DISTINCT doc_id, term, unnest(regexp_extract_all(term, '{P.SCRIPT_RUN}')) AS word FROM based UNION SELECT doc_id, term, term FROM based),
 m AS (SELECT w.doc_id, w.term, avg(coalesce(imp, 0)) AS mean FROM w LEFT JOIN nrm USING (doc_id, word) WHERE length(word) > 1 GROUP BY ALL)
 SELECT b.doc_id, b.term, round((1 + coalesce(mean, 0)) * base / max(base) OVER (PARTITION BY b.doc_id), 6) AS score FROM based b LEFT JOIN m ON b.doc_id = m.doc_id AND b.term = m.term""")
 def semrerank_revise(spark, d):
     x = scored_v4(docs_of(spark, d))
-    importance = R.top_n(x, 5, "freq").select("doc_id", F.col("term").alias("word"), F.col("freq").cast("double").alias("importance"))
+    importance = x.select("doc_id", F.col("term").alias("word"), F.col("freq").cast("double").alias("importance"))
     return S.revise_by_words(x, importance).select("doc_id", "term", r6("score"))
 
 
@@ -396,8 +400,7 @@ def display_table(spark, d):
     return R.numbered(kept_terms(docs_of(spark, d)))
 
 
-_CTX = """, top AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 3),
-p1 AS (SELECT doc_id, term, text, strpos(text, term) AS a FROM top JOIN documents USING (doc_id)),
+_CTX = """, p1 AS (SELECT doc_id, term, text, strpos(text, term) AS a FROM cand JOIN documents USING (doc_id)),
 p2 AS (SELECT *, CASE WHEN a > 0 AND strpos(text[a + length(term):], term) > 0 THEN strpos(text[a + length(term):], term) + a + length(term) - 1 ELSE 0 END AS b FROM p1),
 p3 AS (SELECT *, CASE WHEN b > 0 AND strpos(text[b + length(term):], term) > 0 THEN strpos(text[b + length(term):], term) + b + length(term) - 1 ELSE 0 END AS c FROM p2)
 SELECT doc_id, term, list_transform(list_filter([a, b, c], lambda p: p > 0), lambda p: text[greatest(0, p - 51) + 1 : least(length(text), p - 1 + length(term) + 50)]) AS contexts FROM p3"""
@@ -406,8 +409,7 @@ SELECT doc_id, term, list_transform(list_filter([a, b, c], lambda p: p > 0), lam
 @query("contexts", f"WITH {_V4} {_CTX}")
 def contexts(spark, d):
     docs = docs_of(spark, d)
-    top = R.top_n(C.candidates_v4(docs), 3, "freq").select("doc_id", "term")
-    return top.join(docs, "doc_id").select("doc_id", "term", T.contexts(F.col("text"), F.col("term")).alias("contexts"))
+    return C.candidates_v4(docs).select("doc_id", "term").join(docs, "doc_id").select("doc_id", "term", T.contexts(F.col("text"), F.col("term")).alias("contexts"))
 
 
 @query("jaccard_bigrams", """WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, length(p_name)), lambda i: p_name[i:i+1])) AS s FROM part)
@@ -526,9 +528,9 @@ def bm25_stats(spark, d):
     return I.Bm25Index(docs_of(spark, d), _WORDS).statistics.select("token", "df", r6("idf"))
 
 
-@query("bm25_topk", f"WITH {_BM} SELECT query_id, rank, round(score, 6) AS score FROM bm")
+@query("bm25_topk", f"WITH {_BM} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm")
 def bm25_topk(spark, d):
-    return I.Bm25Index(docs_of(spark, d), _WORDS).search(_bench(spark, d)).select("query_id", "rank", r6("score"))
+    return I.Bm25Index(docs_of(spark, d), _WORDS).search(_bench(spark, d)).select("query_id", "doc_id", "rank", r6("score"))
 
 
 @query("rrf_fusion", "WITH l AS (SELECT label AS query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings UNION ALL SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) FROM embeddings), f AS (SELECT query_id, doc_id, sum(1 / (60.0::DOUBLE + rank)) AS s FROM l GROUP BY ALL) SELECT query_id, doc_id, round(s, 6) AS rrf_score FROM f")
@@ -542,12 +544,11 @@ def rrf_fusion(spark, d):
 _INDEXED = "list_transform(list_filter(string_split(text, '。'), lambda x: regexp_matches(x, '\\S')), lambda x: trim(x, E' \\t\\n\\r\\x0b\\x0c') || '。')"
 
 
-@query("local_context", f"""WITH {_V4}, top AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 5),
-s AS (SELECT doc_id, unnest(range(len(x)))::INT AS sent_no, unnest(x) AS text FROM (SELECT doc_id, {_INDEXED} AS x FROM documents))
-SELECT doc_id, term, sent_no, md5(text) AS digest, rank FROM (SELECT doc_id, term, sent_no, text, row_number() OVER (PARTITION BY doc_id, term ORDER BY sent_no) AS rank FROM top JOIN s USING (doc_id) WHERE contains(text, term)) WHERE rank <= 5""")
+@query("local_context", f"""WITH {_V4}, s AS (SELECT doc_id, unnest(range(len(x)))::INT AS sent_no, unnest(x) AS text FROM (SELECT doc_id, {_INDEXED} AS x FROM documents))
+SELECT doc_id, term, sent_no, md5(text) AS digest, rank FROM (SELECT doc_id, term, sent_no, text, row_number() OVER (PARTITION BY doc_id, term ORDER BY sent_no) AS rank FROM cand JOIN s USING (doc_id) WHERE contains(text, term)) WHERE rank <= 5""")
 def local_context(spark, d):
     docs = docs_of(spark, d)
-    out = I.local_contexts(R.top_n(C.candidates_v4(docs), 5, "freq"), docs)
+    out = I.local_contexts(C.candidates_v4(docs), docs)
     return out.select("doc_id", "term", "sent_no", F.md5(F.col("text").cast("binary")).alias("digest"), "rank")
 
 
@@ -574,20 +575,29 @@ def dynamic_threshold_contexts(spark, d):
     return I.similar_contexts(hits).select("query_id", "doc_id", r6("score"), F.md5(F.col("text").cast("binary")).alias("digest"), "pick")
 
 
-_HY = f"""WITH {_VEC}, l AS (SELECT query_id, 'vector' AS source, doc_id, rank FROM vs UNION ALL SELECT a.vec_id, 'bm25', b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0),
+_HY = f"""WITH {_VEC}, {_BM.replace("ask AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM benchmark)", "ask AS (SELECT doc_id AS query_id, token FROM post WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))")},
+l AS (SELECT query_id, 'vector' AS source, doc_id, rank FROM vs UNION ALL SELECT query_id, 'bm25', doc_id, rank FROM bm),
 f AS (SELECT query_id, doc_id, sum(1 / (60.0::DOUBLE + rank)) AS s FROM l GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS rank FROM f),
 w AS (SELECT query_id, doc_id, CASE WHEN bool_or(source = 'vector') THEN 'vector' ELSE 'bm25' END AS source FROM l GROUP BY ALL)"""
 
 
+def _hybrid_lists(spark, d):
+    """The BM25 and the vector list of every 50th document."""
+    docs = docs_of(spark, d)
+    asked = docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id % 50 = 0")
+    return I.Bm25Index(docs, _WORDS).search(asked.select(F.col("doc_id").alias("query_id"), "text")), _vector_hits(spark, d)
+
+
 def _hybrid_hits(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    same = q.join(e.select("label", F.col("vec_id").alias("doc_id")), "label").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
-    text = lambda x: x.withColumn("text", F.col("doc_id").cast("string"))
-    a = text(_vector_hits(spark, d).withColumn("source", F.lit("vector")))
-    b = text(same.select("query_id", "doc_id", F.lit(1.0).alias("score"), "rank", F.lit("bm25").alias("source")))
-    return a.unionByName(b)
+    text = lambda x, source: x.withColumn("source", F.lit(source)).withColumn("text", F.col("doc_id").cast("string"))
+    words, vectors = _hybrid_lists(spark, d)
+    return text(words, "bm25").unionByName(text(vectors, "vector"))
+
+
+@query("hybrid_index", f"{_HY} SELECT query_id, doc_id, round(s, 6) AS rrf_score, rank FROM r WHERE rank <= 10")
+def hybrid_index(spark, d):
+    return I.hybrid_search(*_hybrid_lists(spark, d)).select("query_id", "doc_id", r6("rrf_score"), "rank")
 
 
 @query("hybrid_fusion", f"{_HY} SELECT r.query_id, r.doc_id, w.source, round(s, 6) AS rrf_score FROM r JOIN w ON r.query_id = w.query_id AND r.doc_id = w.doc_id WHERE rank <= 10")
@@ -618,15 +628,14 @@ def cluster_flatten(spark, d):
     return K.flattened(ids.withColumn("parent_id", F.when(F.col("cluster_id") != 0, F.floor(F.col("cluster_id") / 3))))
 
 
-_TC = "tc AS (SELECT DISTINCT doc_id % 20 AS cluster_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 3)"
+_TC = "tc AS (SELECT DISTINCT doc_id % 20 AS cluster_id, term FROM cand)"
 
 
 def _term_clusters(spark, d):
-    top = R.top_n(C.candidates_v4(docs_of(spark, d)), 3, "freq")
-    return top.select(F.pmod("doc_id", F.lit(20)).alias("cluster_id"), "term").distinct()
+    return C.candidates_v4(docs_of(spark, d)).select(F.pmod("doc_id", F.lit(20)).alias("cluster_id"), "term").distinct()
 
 
-@query("subsumption_pairs", f"WITH {_V4}, {_TC} SELECT a.cluster_id AS parent_cluster, b.cluster_id AS child_cluster, a.term AS parent_term, b.term AS child_term, length(b.term) - length(a.term) AS gap FROM tc a JOIN tc b ON a.cluster_id <> b.cluster_id AND a.term <> b.term AND contains(b.term, a.term)")
+@query("subsumption_pairs", f"WITH {_V4}, {_TC} SELECT a.cluster_id AS parent_cluster, b.cluster_id AS child_cluster, a.term AS parent_term, b.term AS child_term, length(b.term) - length(a.term) AS gap FROM (SELECT cluster_id, term, unnest({_PARTS.format('term')}) AS part FROM tc) b JOIN tc a ON a.term = b.part AND a.cluster_id <> b.cluster_id")
 def subsumption_pairs(spark, d):
     return K.subsumption_pairs(_term_clusters(spark, d)).withColumn("gap", F.col("gap").cast("long"))
 
@@ -766,13 +775,12 @@ def seeds_semrerank(spark, d):
     return R.seeds_semrerank(scored_v4(docs_of(spark, d)).withColumn("freq", F.col("freq").cast("double"))).select("doc_id", "term", "rank")
 
 
-@query("position_scores", f"""WITH {_V4}, top AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, term) AS r FROM cand) WHERE r <= 5),
-p AS (SELECT doc_id, term, length(text) AS n, string_split(text, term) AS x FROM top JOIN documents USING (doc_id)),
+@query("position_scores", f"""WITH {_V4}, p AS (SELECT doc_id, term, length(text) AS n, string_split(text, term) AS x FROM cand JOIN documents USING (doc_id)),
 q AS (SELECT doc_id, term, n, list_transform(range(1, len(x)), lambda i: CAST(list_sum(list_transform(x[1:i], lambda y: length(y))) + (i - 1) * length(term) AS BIGINT)) AS ps FROM p)
 SELECT doc_id, term, len(ps) AS n_found, round(CASE WHEN len(ps) <= 1 THEN 0.5::DOUBLE ELSE 1 / (1 + list_aggregate(ps, 'stddev_pop') / (n::DOUBLE / (len(ps) + 1))) END, 6) AS distribution, round(1 - 0.5::DOUBLE * ps[1] / n, 6) AS position FROM q WHERE len(ps) > 0""")
 def position_scores(spark, d):
     docs = docs_of(spark, d)
-    x = R.top_n(C.candidates_v4(docs), 5, "freq").select("doc_id", "term").join(docs, "doc_id").withColumn("at", N.positions(F.col("text"), F.col("term"))).filter(F.size("at") > 0)
+    x = C.candidates_v4(docs).select("doc_id", "term").join(docs, "doc_id").withColumn("at", N.positions(F.col("text"), F.col("term"))).filter(F.size("at") > 0)
     return x.select("doc_id", "term", F.size("at").cast("long").alias("n_found"), F.round(N.distribution_score(F.col("at"), F.length("text")), 6).alias("distribution"), F.round(N.position_score(F.col("at")[0], F.length("text")), 6).alias("position"))
 
 
@@ -789,14 +797,13 @@ def text_chunks(spark, d):
     return docs_of(spark, d).select("doc_id", F.posexplode(N.chunks(F.col("text"))).alias("chunk", "piece")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
-_CL = "cl AS (SELECT vec_id AS cluster_id, CASE WHEN vec_id < 5 THEN NULL ELSE vec_id % 5 END AS parent_id, CASE WHEN vec_id < 5 THEN 0 ELSE 1 END AS level, 'c' || vec_id AS category FROM embeddings WHERE vec_id < 50), ct AS (SELECT DISTINCT p_size % 50 AS cluster_id, p_name AS term FROM part)"
+_CL = "cl AS (SELECT DISTINCT p_size::BIGINT AS cluster_id, CASE WHEN p_size > 5 THEN p_size::BIGINT % 5 + 1 END AS parent_id, CASE WHEN p_size > 5 THEN 1 ELSE 0 END AS level, 'c' || p_size AS category FROM part), ct AS (SELECT DISTINCT p_size::BIGINT AS cluster_id, p_name AS term FROM part)"
 
 
 def _clusters(spark, d):
-    v = table(spark, d, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("cluster_id"))
-    top = F.col("cluster_id") < 5
-    clusters = v.select("cluster_id", F.when(~top, F.pmod("cluster_id", F.lit(5))).alias("parent_id"), F.when(top, 0).otherwise(1).alias("level"), F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("category"))
-    terms = table(spark, d, "part").select((F.col("p_size") % 50).cast("long").alias("cluster_id"), F.col("p_name").alias("term")).distinct()
+    terms = table(spark, d, "part").select(F.col("p_size").cast("long").alias("cluster_id"), F.col("p_name").alias("term")).distinct()
+    below = F.col("cluster_id") > 5
+    clusters = terms.select("cluster_id").distinct().select("cluster_id", F.when(below, F.pmod("cluster_id", F.lit(5)) + 1).alias("parent_id"), F.when(below, 1).otherwise(0).alias("level"), F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("category"))
     return clusters, terms
 
 
@@ -829,11 +836,11 @@ def vector_context(spark, d):
     return I.joined_contexts(_vector_hits(spark, d).withColumn("text", F.col("doc_id").cast("string")))
 
 
-@query("validated_terms", f"WITH {_V4}, a AS (SELECT p_name AS headword, p_type AS definition, p_partkey AS ord FROM part UNION ALL SELECT term, 'd' || doc_id, doc_id FROM cand WHERE freq > 20), f AS (SELECT headword AS term, arg_min(definition, row(ord, definition)) AS definition FROM a GROUP BY headword) SELECT doc_id, c.term, f.definition FROM cand c JOIN f ON c.term = f.term")
+@query("validated_terms", f"WITH {_V4}, a AS (SELECT p_name AS headword, p_type AS definition, p_partkey AS ord FROM part UNION ALL SELECT term, 'd' || doc_id, doc_id FROM cand), f AS (SELECT headword AS term, arg_min(definition, row(ord, definition)) AS definition FROM a GROUP BY headword) SELECT doc_id, c.term, f.definition FROM cand c JOIN f ON c.term = f.term")
 def validated_terms(spark, d):
     cand = C.candidates_v4(docs_of(spark, d))
     part = table(spark, d, "part").select(F.col("p_name").alias("headword"), F.col("p_type").alias("definition"), F.col("p_partkey").cast("long").alias("ord"))
-    own = cand.filter("freq > 20").select(F.col("term").alias("headword"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("definition"), F.col("doc_id").alias("ord"))
+    own = cand.select(F.col("term").alias("headword"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("definition"), F.col("doc_id").alias("ord"))
     answers = part.unionByName(own).withColumn("synonyms", F.array().cast("array<string>")).withColumn("ord", F.struct("ord", "definition"))
     return D.validated(cand, answers).select("doc_id", "term", "definition")
 
