@@ -18,3 +18,9 @@ def cosine(a: Column, b: Column) -> Column:
     """0 where either is empty or of zero length."""
     length = norm(a) * norm(b)
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
+
+
+def on_circle(place: Column, n: Column) -> tuple[Column, Column]:
+    """Coordinates of the ``place``-th (from 0) of ``n`` points spread evenly on the unit circle."""
+    angle = 2 * F.pi() * place / n
+    return F.cos(angle), F.sin(angle)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +18,54 @@ def by_doc():
     return Window.partitionBy("doc_id")
 
 
+def _occurrences(terms: list[str], text: str, sentences: list[str]) -> tuple[list[int], list[int]]:
+    """For each of a document's terms how often it stands in the text, without overlap, and in
+    how many sentences: one pass over either, whatever the number of terms."""
+    matcher = ahocorasick.Automaton()
+    for i, t in enumerate(terms):
+        matcher.add_word(t, i)
+    matcher.make_automaton()
+    size, free = [len(t) for t in terms], [0] * len(terms)
+    found, held, seen = [0] * len(terms), [0] * len(terms), [-1] * len(terms)
+    for end, i in matcher.iter(text):
+        if end + 1 - size[i] >= free[i]:
+            found[i] += 1
+            free[i] = end + 1
+    for k, s in enumerate(sentences):
+        for _, i in matcher.iter(s):
+            if seen[i] != k:
+                seen[i] = k
+                held[i] += 1
+    return found, held
+
+
 def text_statistics(candidates: DataFrame, docs: DataFrame, split=T.sentences) -> DataFrame:
     """Candidates with ``n_found`` (occurrences in the text), ``n_chars``, ``n_sentences``
-    and ``df`` (sentences that hold the term)."""
+    and ``df`` (sentences that hold the term).
+
+    The unit is a document with all its terms: a matcher of them goes over the text once, so
+    a long document costs its length, not its length for each term."""
+    own = candidates.select("doc_id", "term").distinct().groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
     text = docs.select("doc_id", "text", split(F.col("text")).alias("sentences"))
-    return candidates.join(text, "doc_id").select(
-        *candidates.columns,
-        T.count_of(F.col("text"), F.col("term")).alias("n_found"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.size("sentences").cast("long").alias("n_sentences"),
-        F.size(F.filter("sentences", lambda s: F.contains(s, F.col("term")))).cast("long").alias("df"),
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms, found, held, chars, sentences = [], [], [], [], [], []
+            for doc, own, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "terms", "text", "sentences")), strict=True):
+                n, df = _occurrences(own, text, parts)
+                ids += [doc] * len(own)
+                terms += own
+                found += n
+                held += df
+                chars += [len(text)] * len(own)
+                sentences += [len(parts)] * len(own)
+            columns = [pa.array(ids, batch.schema.field("doc_id").type), pa.array(terms, pa.string()), *(pa.array(x, pa.int64()) for x in (found, chars, sentences, held))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "n_found", "n_chars", "n_sentences", "df"])
+
+    rows = own.join(text.filter("text IS NOT NULL"), "doc_id").select("doc_id", "terms", "text", "sentences")
+    stats = rows.mapInArrow(run, f"doc_id {kind}, term string, n_found long, n_chars long, n_sentences long, df long")
+    return candidates.join(stats, ["doc_id", "term"]).select(*candidates.columns, "n_found", "n_chars", "n_sentences", "df")
 
 
 def tfidf_v4(stats: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Vectors are compared in blocks: rows are dealt into blocks of bounded size, every pair
 of blocks is one row of work, and numpy multiplies two blocks at once. Only pairs that
-reach the threshold leave a block, so nothing of the size of all pairs is shuffled.
+reach the threshold, or are among a row's best, leave a block, so nothing of the size of
+all pairs is shuffled.
 """
 
 from __future__ import annotations
@@ -31,10 +32,19 @@ def _matrix(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
     return ids, x / np.where(length > 0, length, 1.0)
 
 
-def pairs_above(left: DataFrame, threshold: float, right: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def _best(s: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
+    """Marks of the ``k`` largest allowed values of each row, and of all that equal the last."""
+    if s.shape[1] <= k:
+        return allowed
+    s = np.where(allowed, s, -np.inf)
+    return allowed & (s >= np.partition(s, -k, axis=1)[:, -k, None])
+
+
+def pairs_above(left: DataFrame, threshold: float, right: DataFrame | None = None, block: int = BLOCK, best: int | None = None) -> DataFrame:
     """(a, b, similarity) with cosine >= ``threshold``: within ``left`` each unordered pair
     once (a < b), or every pair of ``left`` and ``right``. A vector of zero length is
-    similar to none (0)."""
+    similar to none (0). With ``best`` only pairs leave a pair of blocks that may be among
+    the ``best`` of one of their ends (of ``a``, where there are two tables); ties all do."""
     same = right is None
     other = left if same else right
     kind = dict(left.dtypes)["id"]
@@ -55,12 +65,18 @@ def pairs_above(left: DataFrame, threshold: float, right: DataFrame | None = Non
                 ia, xa = _matrix(batch.column("x")[k])
                 ib, xb = _matrix(batch.column("y")[k])
                 s = xa @ xb.T
-                p, q = np.nonzero(s >= threshold)
+                near = s >= threshold
+                if same and batch.column("i")[k] == batch.column("j")[k]:
+                    near &= ia[:, None] != ib[None, :]
+                    if best is not None:
+                        near = _best(s, near, best)
+                        near |= near.T
+                    near &= ia[:, None] < ib[None, :]
+                elif best is not None:
+                    near = _best(s, near, best) | _best(s.T, near.T, best).T if same else _best(s, near, best)
+                p, q = np.nonzero(near)
                 u, v, s = ia[p], ib[q], s[p, q]
                 if same:
-                    if batch.column("i")[k] == batch.column("j")[k]:
-                        keep = u < v
-                        u, v, s = u[keep], v[keep], s[keep]
                     u, v = np.minimum(u, v), np.maximum(u, v)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["a", "b", "similarity"])
 
@@ -90,7 +106,7 @@ def _rank_by(edges: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, k: int = 12, least: float = 0.30) -> DataFrame:
     """(src, dst, similarity, rank): up to ``k`` nearest others of similarity ``least`` or more."""
-    return _rank(both_ways(pairs_above(vectors, least))).filter(F.col("rank") <= k)
+    return _rank(both_ways(pairs_above(vectors, least, best=k))).filter(F.col("rank") <= k)
 
 
 def related(vectors: DataFrame, least: float = 0.5, share: float = 0.15) -> DataFrame:
@@ -113,7 +129,8 @@ def relatedness_graph(edges: DataFrame, share: float = 0.15, keys: tuple[str, ..
 
 
 def search(queries: DataFrame, index: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, doc_id, score, rank): for each query vector the ``k`` best of the index."""
-    hits = pairs_above(queries, least, index).select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), F.col("similarity").alias("score"))
+    """(query_id, doc_id, score, rank): for each query vector the ``k`` best of the index. A pair
+    of blocks gives each query's best of the block, the rest is merged here."""
+    hits = pairs_above(queries, least, index, best=k).select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), F.col("similarity").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -60,6 +60,14 @@ def pdf_text(data: bytes, separator: str = "\n") -> str:
         return separator.join(page.get_text() for page in doc)
 
 
+def pdf_or_text(data: bytes) -> str:
+    """Pages laid end to end; what no installed parser takes is read as UTF-8 without its errors."""
+    try:
+        return pdf_text(data, "")
+    except Exception:  # noqa: BLE001  no parser, or no PDF
+        return data.decode("utf-8", "ignore")
+
+
 class Loader:
     """Readers by lower-cased suffix; others can be registered."""
 
@@ -112,12 +120,6 @@ class Loader:
         return self.read(spark, path, pattern, recursive).filter("error IS NULL").select("path", "text")
 
 
-def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): CSV files as lines of space-joined fields, without Python."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return lines.withColumn("text", F.array_join(F.transform(F.filter(F.split("text", "\r?\n"), lambda x: x != ""), lambda x: F.replace(x, F.lit(","), F.lit(" "))), "\n"))
-
-
 def flatten_results(spark: SparkSession, path: str) -> DataFrame:
     """(term, definition, field) of result files {results: [{terms: [{term, definition, metadata}]}]}."""
     schema = "results array<struct<terms: array<struct<term: string, definition: string, metadata: struct<field: string>>>>>"

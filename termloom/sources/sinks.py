@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import codecs
 import csv
-import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +85,7 @@ def cached_embeddings(texts: DataFrame, path: str, embed) -> DataFrame:
 
 
 def save_report(summary: DataFrame, judged: DataFrame, path: str) -> None:
-    """An evaluation report as one JSON file: the summary row and the terms by status."""
-    lists = {s: [r.asDict() for r in judged.filter(F.col("status") == s).select("term", "similarity").orderBy("term").collect()] for s in ("unknown", "known", "error")}
-    Path(path).write_text(json.dumps({"summary": summary.first().asDict(), **lists}, ensure_ascii=False, indent=2), encoding="utf-8")
+    """An evaluation report as JSON below ``path``: the summary row, and the judged terms in a
+    folder for each status, written where they are."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    judged.write.mode("overwrite").partitionBy("status").json(f"{path}/terms")
