@@ -24,7 +24,7 @@ from termloom.operators import retrieval as I
 from termloom.operators import scores as S
 from termloom.operators import similarity as V
 from termloom.plans import profiles
-from termloom.session import staged
+from termloom.session import spread, staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,7 +45,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_of(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def r6(name: str, alias: str | None = None):
@@ -862,6 +862,67 @@ def sentence_graphs(spark, d):
     return G.sentence_graphs(words, related).select("doc_id", "sent_no", "a", "b", r6("weight"))
 
 
+# ---------------------------------------------------------------- Japanese texts
+
+#: Texts with what the tables do not hold: kanji, katakana, headings, model numbers, full-width marks.
+JAPANESE = (
+    (1, "第1章 燃料噴射ポンプ\n燃料噴射ポンプは燃料をシリンダへ送る。燃料噴射ポンプの圧力は20MPaである。\n燃料ポンプと噴射弁を毎月検査する！弁は二個あるか？"),
+    (2, "■ 排気ガス浄化装置\n排気ガス浄化装置は窒素酸化物を減らす。この装置は触媒を用いる。排気ガスの温度を測る、触媒の温度も測る。\n1.2 触媒の交換\n触媒の交換は一年ごとに行う。"),
+    (3, "主機関は6DE-18型で、主機関の出力は1200kWである。主機関制御盤と主機関用ポンプを確認する。L28ADFも確認する。"),
+    (4, "アンモニア燃料エンジンとアンモニア燃料タンクを試験した。エンジンの試験は良好。タンクとエンジンの検査装置も試験した。"),
+    (5, ""),
+    (6, "データ、データ、データ。情報と情報。技術の技術"),
+)
+_JA = "WITH documents AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}')" for i, t in JAPANESE) + ") v(doc_id, text))"
+
+
+def japanese(spark) -> DataFrame:
+    return spark.createDataFrame(list(JAPANESE), "doc_id long, text string")
+
+
+@query("japanese_sentences", f"""{_JA}, s AS (SELECT doc_id, 'a' AS way, unnest({_WHOLE_A}) AS sentence FROM documents
+UNION ALL SELECT doc_id, 'b', trim(unnest({_SENTENCES_B}), E' \\t\\r\\x0b\\x0c') FROM documents
+UNION ALL SELECT doc_id, 'c', unnest(list_filter(string_split_regex(text, '[。！？、\\n]'), lambda x: regexp_matches(x, '\\S'))) FROM documents
+UNION ALL SELECT doc_id, 'd', unnest({_INDEXED}) FROM documents) SELECT doc_id, way, sentence FROM s""")
+def japanese_sentences(spark, d):
+    ways = {"a": T.sentences(F.col("text")), "b": T.sentences_all(F.col("text"), trim=True), "c": T.sentences_comma(F.col("text")), "d": T.index_sentences(F.col("text"))}
+    parts = [japanese(spark).select("doc_id", F.lit(w).alias("way"), F.explode(c).alias("sentence")) for w, c in ways.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("japanese_words", f"{_JA} SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{P.SCRIPT_RUN}')) AS word FROM documents) WHERE length(word) > 1")
+def japanese_words(spark, d):
+    return japanese(spark).select("doc_id", F.explode(T.script_words(F.col("text"))).alias("word"))
+
+
+@query("japanese_headings", f"{_JA} SELECT 'v4' AS profile, doc_id, term FROM ({_HEADINGS_V4}) UNION ALL SELECT 'v3', doc_id, term FROM ({_HEADINGS_V3})")
+def japanese_headings(spark, d):
+    named = lambda p, x: x.select(F.lit(p).alias("profile"), "doc_id", "term")
+    return named("v4", C.heading_terms_v4(japanese(spark))).unionByName(named("v3", C.heading_terms_v3(japanese(spark))))
+
+
+@query("japanese_candidates_v4", f"{_JA}, {_V4} SELECT * FROM cand")
+def japanese_candidates_v4(spark, d):
+    return C.candidates_v4(japanese(spark))
+
+
+@query("japanese_candidates_v3", f"{_JA}, {_V3} SELECT * FROM cand")
+def japanese_candidates_v3(spark, d):
+    return C.candidates_v3(japanese(spark))
+
+
+@query("japanese_candidates_semrerank", f"{_JA}, {_CAND_SEM} SELECT * FROM cand")
+def japanese_candidates_semrerank(spark, d):
+    return C.candidates_semrerank(japanese(spark))
+
+
+@query("japanese_scores", f"{_JA}, {_KEPT.removeprefix('WITH ')} SELECT b.doc_id, b.term, b.freq, round(b.tfidf, 6) AS tfidf, round(b.cvalue, 6) AS cvalue, round(b.score, 6) AS score, k.term IS NOT NULL AS kept FROM bonus b LEFT JOIN kept k ON b.doc_id = k.doc_id AND b.term = k.term")
+def japanese_scores(spark, d):
+    scores = staged(final_scores(japanese(spark)), "scored")
+    kept = R.drop_substrings(scores, 0.3).select("doc_id", "term", F.lit(True).alias("kept"))
+    return scores.join(kept, ["doc_id", "term"], "left").select("doc_id", "term", "freq", r6("tfidf"), r6("cvalue"), r6("score"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 # ---------------------------------------------------------------- whole profiles
 
 
