@@ -87,6 +87,7 @@ class Words:
 
     table: HashedRows
     size: int  # identifiers
+    room: int  # latent features, at most
 
     @property
     def kind(self) -> type:
@@ -98,9 +99,9 @@ class Words:
 
     @property
     def features(self) -> np.ndarray:
-        """The latent feature of each identifier: itself, or beyond ``FEATURES`` one of as many."""
+        """The latent feature of each identifier: itself, or if there are too many one of ``room``."""
         ids = np.arange(self.size + 1)
-        return ids if self.size <= FEATURES else np.concatenate(([0], 1 + mix(ids[1:].astype(np.uint64)) % np.uint64(FEATURES))).astype(np.int64)
+        return ids if self.size <= self.room else np.concatenate(([0], 1 + mix(ids[1:].astype(np.uint64)) % np.uint64(self.room))).astype(np.int64)
 
 
 @dataclass
@@ -120,7 +121,7 @@ def _of(text: str | None) -> np.ndarray:
 
 def make_words(hashes: list[np.ndarray]) -> Words:
     terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
-    return Words(HashedRows(terms, np.arange(1, len(terms) + 1, dtype=np.float64)[:, None]), len(terms))
+    return Words(HashedRows(terms, np.arange(1, len(terms) + 1, dtype=np.float64)[:, None]), len(terms), FEATURES)
 
 
 def make_items(rows: list[tuple[int, np.ndarray, np.ndarray]], words: Words) -> Items:
@@ -368,70 +369,47 @@ def verdict(item: Pattern, answer: Pattern, near: np.ndarray, sure: float, likel
     return None
 
 
-@dataclass
-class Needs:
-    """The words of items, each as often as it stands in one: a *token* is a word's first,
-    second, ... standing. Items are held by their reach, the cells (of ``STRIDE`` words) that
-    may belong to them on either side of a passage."""
-
-    first: np.ndarray  # by word: its first token
-    most: np.ndarray  # by word: its tokens
-    reaches: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # reach, items, marks by token and item, tokens needed
-
-
-def needs_of(items: list[np.ndarray], size: int, least: float) -> Needs:
-    """What any text must hold, in any order, that has ``least`` of an item."""
-    most = np.zeros(size + 1, np.int64)
-    for w in items:
-        words, counts = np.unique(w, return_counts=True)
-        most[words] = np.maximum(most[words], counts)
-    first = np.cumsum(most) - most
+def word_needs(items: list[np.ndarray], size: int, least: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What any text must hold, in any order, that has ``least`` of an item: (reach, items, how
+    often each has a word, words needed) by the items' reach, the cells (of ``STRIDE`` words)
+    that may belong to them on either side of a passage; reaches are rounded up in pairs."""
     need = np.array([int(np.ceil(least * len(w) - 1e-9)) for w in items], np.int64)
     reach = -(-np.array([len(w) for w in items], np.int64) // STRIDE)
-    reaches = []
+    reach += reach % 2
+    out = []
     for r in np.unique(reach).tolist():
         mine = np.flatnonzero(reach == r)
-        # sums over a cell's words stay below 128 while the reach is small
-        marks = np.zeros((int(most.sum()), len(mine)), np.int8 if (r + 2) * STRIDE < 128 else np.int32)
+        # no sum exceeds an item's length
+        times = np.zeros((size + 1, len(mine)), np.int8 if r * STRIDE < 128 else np.int32)
         for column, k in enumerate(mine.tolist()):
-            for x, n in zip(*(v.tolist() for v in np.unique(items[k], return_counts=True)), strict=True):
-                marks[first[x] : first[x] + n, column] = 1
-        reaches.append((r, mine, marks, need[mine]))
-    return Needs(first, most, reaches)
+            words, counts = np.unique(items[k], return_counts=True)
+            times[words, column] = counts
+        out.append((r, mine, times, need[mine]))
+    return out
 
 
-def possible(words: np.ndarray, cell: np.ndarray, first: np.ndarray, needs: Needs) -> np.ndarray:
-    """(cell, item) wherever the surroundings of the passage that begins there hold the words
-    needed, each counted as often as the item has it. ``first``: each text's first cell."""
+def possible(words: np.ndarray, cell: np.ndarray, first: np.ndarray, needs: list) -> np.ndarray:
+    """(cell, item) wherever the surroundings of the passage that begins there hold enough
+    words of the item, a word that stands there counting as often as the item has it.
+    ``first``: each text's first cell."""
     text = np.searchsorted(first, cell, "right") - 1
     order = np.lexsort((cell, words, text))
     words, cell, text = words[order], cell[order], text[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (text[1:] != text[:-1])
-    run = np.arange(len(words)) - np.maximum.accumulate(np.where(new, np.arange(len(words)), 0))
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
     low, high, out = first[text], first[text + 1] - 2, [np.zeros((0, 2), np.int64)]
-    for reach, items, marks, need in needs.reaches:
-        # passages from ``starts`` to ``ends`` have this word within reach
-        starts, ends = np.maximum(low, cell - reach - 1), np.minimum(high, cell + reach)
-        tokens, a, b = [], [], []
-        for n in range(int(needs.most.max(initial=0))):
-            i = np.flatnonzero((needs.most[words] > n) & (run >= n))
-            # this word and the n before it are; what the run has given before is left out
-            given = np.where(run[i] > n, ends[i - n - 1] + 1, 0)
-            begin, stop = np.maximum(starts[i], given), ends[i - n] + 1
-            fits = begin < stop
-            tokens.append(needs.first[words[i[fits]]] + n)
-            a.append(begin[fits])
-            b.append(stop[fits])
-        token = np.concatenate([np.zeros(0, np.int64), *tokens])
-        counts = np.zeros((int(first[-1]) + 1, len(items)), np.int16)
-        for sign, at in ((1, a), (-1, b)):
-            at = np.concatenate([np.zeros(0, np.int64), *at])
+    for reach, items, times, need in needs:
+        # the word is within reach of the passages from begin to stop, left out where it is already
+        begin, stop = np.maximum(low, cell - reach - 1), np.minimum(high, cell + reach) + 1
+        begin[again] = np.maximum(begin[again], stop[np.flatnonzero(again) - 1])
+        some = np.flatnonzero(begin < stop)
+        counts = np.zeros((int(first[-1]) + 1, len(items)), times.dtype)
+        for sign, at in ((1, begin[some]), (-1, stop[some])):
             order = np.argsort(at, kind="stable")
             at = at[order]
             heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-            counts[at[heads]] += sign * group_sums(marks, token[order], heads)
-        p, q = np.nonzero(np.cumsum(counts, axis=0, dtype=np.int16) >= need)
+            counts[at[heads]] += sign * group_sums(times, words[some[order]], heads)
+        p, q = np.nonzero(np.cumsum(counts, axis=0, dtype=np.int32) >= need)
         out.append(np.stack([p, items[q]], axis=1))
     return np.concatenate(out)
 
@@ -447,7 +425,7 @@ def search(encoded: DataFrame, words, items: Items, weights: np.ndarray, basis:
     queries = (queries / limits[:, None]).astype(np.float32) if parts else queries
     own = np.unique(np.concatenate([np.zeros(0, np.int32), *items.words]))  # the block's own words, numbered from 1
     local = [np.searchsorted(own, w) + 1 for w in items.words]
-    needs = needs_of(local, len(own), min(sure, likely))
+    needs = word_needs(local, len(own), min(sure, likely))
     shared = spark.sparkContext.broadcast((rows, queries, of, own, needs, items))  # bounded by FEATURES and the block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
