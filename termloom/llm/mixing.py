@@ -12,6 +12,8 @@ buckets and a window inside each bucket, so no task holds a whole source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ from termloom.operators.joins import join_spread
 from termloom.session import staged
 
 WEIGHTS, MOST_REPEATS, BLOCK_WORDS = (5, 2, 1), 3, 512
-#: Rows of a source whose shuffled order is summed together, about; slots likewise; cells of the unit interval.
-BUCKET_ROWS, SLOT_CHUNK, CELLS = 1 << 13, 1 << 14, 4096
+#: Rows of a source whose shuffled order is summed together, about; the least number of
+#: slots ranked together; cells of the unit interval.
+BUCKET_ROWS, SLOT_CHUNK, CELLS = 1 << 13, 256, 4096
 _GOLDEN = 0.6180339887498949
 _GOLDEN_HIGH = 0.6180339887498948482 * (1 << 20) % 1
 
@@ -101,8 +104,9 @@ def schedule(planned: DataFrame) -> DataFrame:
         .withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0)))
         .withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1).cast("long")))))
     )
+    chunk = max(SLOT_CHUNK, math.isqrt(total))  # as many slots in a chunk as there are chunks
     points = spark.range(total).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(shares, "cell").filter("u >= lo AND u < hi").select("slot", "sid", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
+    hit = points.join(shares, "cell").filter("u >= lo AND u < hi").select("slot", "sid", F.floor(F.col("slot") / chunk).alias("chunk"))
     counts = hit.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
