@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import language_id, quality
+from termloom.llm import decontaminate, language_id, quality
 from termloom.llm.common import crc_fold
 
 
@@ -143,3 +143,39 @@ def test_a_language_of_few_rows_is_learned(spark):
         assert got[3] == "pl" and got[1000] == "en"
     alone = spark.createDataFrame([(3, "zażółć gęślą jaźń", "pl")], "doc_id long, text string, lang string")
     assert language_id.identify(alone, language_id.fit(alone)).first()["lang_pred"] == "pl"
+
+
+def test_latent_basis_is_that_of_the_exact_decomposition(spark):
+    """The sketch's space against the singular vectors of all TF-IDF passages, and the cosines
+    in it against theirs."""
+    rng = np.random.default_rng(7)
+    topics = [[f"t{k}w{i}" for i in range(25)] for k in range(6)]
+    texts = [" ".join(str(rng.choice(topics[k % 6] if rng.random() < 0.9 else topics[(k + 1) % 6])) for _ in range(int(rng.integers(10, 150)))) for k in range(150)]
+    words = decontaminate.make_words([decontaminate._of(" ".join(sum(topics, [])))])
+    shared = spark.sparkContext.broadcast(words)
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").selectExpr("uid", "uid AS id", "text")
+    encoded = decontaminate._encode(df, shared, "long")
+    counts, passages = decontaminate.document_frequencies(encoded, shared)
+    rows = []
+    for text in texts:
+        ids = words.lookup(decontaminate._of(text))
+        for a in range(0, len(ids), decontaminate.PASSAGE):
+            row = np.zeros(words.size)
+            row[np.unique(ids[a : a + decontaminate.PASSAGE]) - 1] = 1
+            rows.append(row)
+    x = np.array(rows)
+    assert passages == len(x) and (counts == x.sum(axis=0)).all()
+    weights = np.concatenate(([0.0], np.log((passages + 1) / (counts + 0.5))))
+    x = x * weights[1:]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    _, values, vectors = np.linalg.svd(x, full_matrices=False)
+    for rank in (6, 40, words.size):
+        basis = decontaminate.latent_basis(encoded, shared, weights, rank=rank)
+        assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-6)
+        kept, best = ((x @ basis) ** 2).sum(), (values[:rank] ** 2).sum()
+        assert kept >= 0.93 * best  # one pass, without power iterations
+        if rank == 6:  # a clear gap follows: the same six directions
+            assert np.linalg.svd(vectors[:6] @ basis)[1].min() > 0.95
+        if rank == words.size:
+            y = x @ basis
+            assert np.allclose(y @ y.T, x @ x.T, atol=1e-3)
