@@ -941,7 +941,10 @@ def pipeline_semrerank(spark, d):
     return profiles.extract_semrerank(docs_of(spark, d)).select("doc_id", "rank", "term", r6("score"))
 
 
-@query("definitions_stub")
+@query("definitions_stub", f"""WITH {_FLAG}, best AS (SELECT doc_id, term FROM (SELECT doc_id, term, {_RANKED} AS rank FROM bonus) WHERE rank <= 5),
+s AS (SELECT doc_id, unnest(range(len(x)))::INT AS sent_no, unnest(x) AS text FROM (SELECT doc_id, {_INDEXED} AS x FROM documents)),
+f AS (SELECT b.doc_id, b.term, arg_min(text, sent_no) AS text FROM best b JOIN s ON s.doc_id = b.doc_id AND contains(text, term) GROUP BY ALL)
+SELECT doc_id, term, regexp_replace(regexp_replace(split_part(text, chr(10), 1)[1:200], '^\\s+', ''), '\\s+$', '') AS definition FROM f""")
 def definitions_stub(spark, d):
     """Definitions by the extractive stub: the first line of the context."""
     docs = docs_of(spark, d)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators.dictionary import compare_methods
 from termloom.plans.profiles import PROFILES
+from termloom.session import release
 from termloom.sources.loaders import Loader
 from termloom.sources.sinks import save_by_file
 
@@ -35,9 +36,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             one = PROFILES.create(name)(docs).select(F.lit(name).alias("method"), "term", "score")
             rows = one if rows is None else rows.unionByName(one)
         compare_methods(rows).write.mode("overwrite").json(args.output)
+        release(spark)
         return
     out = PROFILES.create(args.profile)(docs).join(docs.select("doc_id", F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file")), "doc_id")
     save_by_file(out, args.output)
+    release(spark)
 
 
 if __name__ == "__main__":

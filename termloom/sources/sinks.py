@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import csv
+import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +50,20 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def export_csv(scored: DataFrame, path: str, most: int = 50) -> None:
-    """The best terms as one UTF-8 file with a byte order mark: columns 専門用語 and スコア."""
+    """The best terms as one UTF-8 file with a byte order mark, on any file system that Spark
+    reaches: columns 専門用語 and スコア."""
     rows = scored.orderBy(F.desc("score"), "term").limit(most).select("term", "score").collect()
-    with open(path, "wb") as f:
-        f.write(codecs.BOM_UTF8)
-        out = codecs.getwriter("utf-8")(f)
-        w = csv.writer(out)
-        w.writerow(["専門用語", "スコア"])
-        w.writerows([r["term"], r["score"]] for r in rows)
+    text = io.StringIO()
+    w = csv.writer(text)
+    w.writerow(["専門用語", "スコア"])
+    w.writerows([r["term"], r["score"]] for r in rows)
+    spark = scored.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(codecs.BOM_UTF8 + text.getvalue().encode()))
+    finally:
+        out.close()
 
 
 def hierarchy_json(clusters: DataFrame, cluster_terms: DataFrame) -> DataFrame:

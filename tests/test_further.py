@@ -230,3 +230,34 @@ def test_sinks_and_fallbacks(spark, tmp_path):
     sinks.drop_tables(spark, "gone_soon", "never_there")
     assert not spark.catalog.tableExists("gone_soon")
     assert [r["t"] for r in spark.createDataFrame([("abcdef",), ("abc",)], "s string").select(T.shortened(F.col("s"), 3).alias("t")).collect()] == ["abc...", "abc"]
+
+
+def test_relations_and_duplicates(spark):
+    pairs = spark.createDataFrame([("弁", "逆止弁", True, False), ("x", "y", False, True), ("b", "a", None, None)], "a string, b string, same_domain boolean, same_stem boolean")
+    together = spark.createDataFrame([("a", "b", 20), ("弁", "逆止弁", 1)], "a string, b string, n long")
+    got = {r["a"]: r["relation"] for r in N.relation_score(pairs, together).collect()}
+    assert got == pytest.approx({"弁": 3 + 5 * 0.5 + 0.5 + 5, "x": 3.0, "b": 4.0})
+    rows = [(1, "check valve", 4.0, 0), (1, "check valves", 2.0, 1), (1, "pump", 1.0, 2), (1, "check-valves", 1.0, 3), (2, "pump", 5.0, 0)]
+    out = {(r["doc_id"], r["term"]): (r["score"], r["merged"]) for r in N.merged_duplicates(spark.createDataFrame(rows, "doc_id long, term string, score double, ord int")).collect()}
+    assert out == {(1, "check valve"): (2.0, ["check valves", "check-valves"]), (1, "pump"): (1.0, []), (2, "pump"): (5.0, [])}
+
+
+def test_parts_of_speech_by_domain(spark):
+    rows = [("名詞", "一般", "圧力", "圧力"), ("動詞", "自立", "測る", "測る"), ("名詞", "接尾", "薬", "薬"), ("名詞", "接尾", "法", "法"), ("名詞", "サ変接続", "検査", "検査"), ("名詞", "固有名詞", "DNA", "dna"), ("名詞", "一般", "こと", "こと"), ("名詞", "一般", "a", "a")]
+    t = spark.createDataFrame(rows, "pos string, kind string, surface string, norm string")
+    cols = [F.col(c) for c in ("pos", "kind", "surface", "norm")]
+    kept = lambda d: [r["surface"] for r in t.filter(N.noun_in_domain(*cols, d, ("こと",))).collect()]
+    assert kept("general") == ["圧力", "検査", "DNA"] and kept("pharma") == ["圧力", "薬", "検査", "DNA"] and kept("legal") == ["圧力", "法", "検査", "DNA"]
+    bonus = lambda d: [r["b"] for r in t.select(N.noun_bonus(cols[1], cols[2], d).alias("b")).collect()]
+    assert bonus("general") == [0, 0, 0, 0, 2.0, 1.5, 0, 0] and bonus("pharma")[4] == 3.0 and bonus("it")[5] == 2.0
+
+
+def test_definition_checks(spark):
+    rows = [("弁", "短い", None), ("弁", "弁は" + "長い" * 50, "部品"), ("ポンプ", "水を送るためのシステムであり広く用いられている", None), ("ポンプ", None, "部品")]
+    t = spark.createDataFrame(rows, "h string, d string, c string")
+    got = [r["x"] for r in t.select(N.checked_definition(F.col("d"), F.col("h"), F.col("c")).alias("x")).collect()]
+    assert got[0] == "それに関する専門用語" and got[1] == ("それは" + "長い" * 50)[: 77 + 1] + "..." and got[2] == "水を送るための仕組みであり広く用いられている" and got[3] == "それに関する部品用語"
+    cuts = spark.createDataFrame([("短い定義。",), ("一文目。" + "二文目" * 20,), ("甲" * 30 + "、" + "乙" * 10 + "、" + "丙" * 30,), ("甲" * 60,)], "d string")
+    assert [r["x"] for r in cuts.select(N.cut_definition(F.col("d")).alias("x")).collect()] == ["短い定義。", "一文目。", "甲" * 30 + "、" + "乙" * 10 + "等", "甲" * 60 + "等"]
+    plain = spark.createDataFrame([("品質管理は製造の品質を管理する", ["品質", "管理"])], "d string, p array<string>")
+    assert plain.select(N.without_circularity(F.col("d"), F.col("p")).alias("x")).first()["x"] == "製品の良し悪し監視と改善は製造の製品の良し悪しを監視と改善する"
