@@ -7,7 +7,8 @@ key therefore fixes the bits of a chain but for one segment that may differ. Pai
 that share a key go through the cumulative chain test and then the full Hamming
 check. Equal fingerprints are one row throughout, a key shared by many is cut into
 blocks of bounded size, and each pair of blocks gives the stars of its own links,
-never all of its pairs.
+never all of its pairs: a key of many fingerprints is first refined by the pigeonhole over
+the bits it leaves open.
 """
 
 from __future__ import annotations
@@ -102,20 +103,40 @@ def block_links(fps: np.ndarray, start: int, segments: int, tau: int) -> np.ndar
         label = np.minimum(label, least)
 
 
+def refinements(mask: int, tau: int) -> list[int]:
+    """The bits that a probe leaves open, in tau + 1 parts: two fingerprints within ``tau`` bits
+    that share the probe's key agree on one of these as well."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in left[len(left) * i // (tau + 1) : len(left) * (i + 1) // (tau + 1)]) for i in range(tau + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def link_edges(distinct: DataFrame, segments: int = SEGMENTS, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between representatives ``rep`` of distinct fingerprints ``fp`` that
-    keep every link's two ends connected."""
+    keep every link's two ends connected.
+
+    A key of more than ``block`` fingerprints is refined by the bits it leaves open, and only
+    a refined key that still holds more is compared in pairs of blocks."""
     ring = probes(segments, tau)
-    signed = [m - (1 << 64) if m >> 63 else m for _, m in ring]
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("probe"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key")) for i, m in enumerate(signed)])
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("probe"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for i, (_, m) in enumerate(ring)])
     rows = distinct.select("fp", "rep", F.explode(keys).alias("k")).select("k.probe", "k.key", "fp", "rep")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / block))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("held", F.col("n"))
     # a key of very many fingerprints is not brought together before it is cut
-    dealt = join_spread(rows, shared, "key", len(ring) * distinct.count()).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts"))
+    met = staged(join_spread(rows, shared, "key", len(ring) * distinct.count()), "probed")
+    zero = F.lit(0).cast("long")
+    plain = met.filter(F.col("held") <= block).select("key", "probe", zero.alias("p"), zero.alias("q"), "fp", "rep")
+    open_bits = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)) for x in refinements(m, tau)]) for _, m in ring]), F.col("probe").cast("int") + 1)
+    finer = F.transform(open_bits, lambda m, i: F.xxhash64("key", i, F.col("fp").bitwiseAND(m)))
+    refined = met.filter(F.col("held") > block).select("probe", F.explode(finer).alias("key"), "fp", "rep")
+    many = refined.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / block))
+    dealt = join_spread(refined, many, "key", len(ring) * (tau + 1) * distinct.count()).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
         "key", "probe", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp", "rep"
     )
-    groups = paired.groupBy("key", "probe", "p", "q").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).filter(F.size("rows") > 1)
+    groups = plain.unionByName(paired).groupBy("key", "probe", "p", "q").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).filter(F.size("rows") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
