@@ -635,9 +635,11 @@ def _term_clusters(spark, d):
     return C.candidates_v4(docs_of(spark, d)).select(F.pmod("doc_id", F.lit(20)).alias("cluster_id"), "term").distinct()
 
 
-@query("subsumption_pairs", f"WITH {_V4}, {_TC} SELECT a.cluster_id AS parent_cluster, b.cluster_id AS child_cluster, a.term AS parent_term, b.term AS child_term, length(b.term) - length(a.term) AS gap FROM (SELECT cluster_id, term, unnest({_PARTS.format('term')}) AS part FROM tc) b JOIN tc a ON a.term = b.part AND a.cluster_id <> b.cluster_id")
+@query("subsumption_pairs", f"WITH {_V4}, {_TC}, pairs AS (SELECT a.cluster_id AS parent_cluster, b.cluster_id AS child_cluster, a.term AS parent_term, b.term AS child_term, length(b.term) - length(a.term) AS gap FROM (SELECT cluster_id, term, unnest({_PARTS.format('term')}) AS part FROM tc) b JOIN tc a ON a.term = b.part AND a.cluster_id <> b.cluster_id) SELECT parent_cluster, parent_term, count(*) AS pairs, count(DISTINCT child_cluster) AS clusters, count(DISTINCT child_term) AS terms, CAST(sum(gap) AS BIGINT) AS gaps FROM pairs GROUP BY ALL")
 def subsumption_pairs(spark, d):
-    return K.subsumption_pairs(_term_clusters(spark, d)).withColumn("gap", F.col("gap").cast("long"))
+    """All pairs of all clusters, told by the parent's term."""
+    pairs = K.subsumption_pairs(_term_clusters(spark, d))
+    return pairs.groupBy("parent_cluster", "parent_term").agg(F.count("*").alias("pairs"), F.count_distinct("child_cluster").alias("clusters"), F.count_distinct("child_term").alias("terms"), F.sum("gap").cast("long").alias("gaps"))
 
 
 @query("sibling_line", f"WITH {_V4}, {_TC}, o AS (SELECT a.cluster_id, a.term, list_sort(list(b.term) FILTER (b.term <> a.term)) AS r FROM tc a JOIN tc b USING (cluster_id) GROUP BY ALL) SELECT cluster_id, term, coalesce(array_to_string(r[1:5], ', '), '') || CASE WHEN coalesce(len(r), 0) > 5 THEN ' 他' || (len(r) - 5) || '件' ELSE '' END AS siblings FROM o")
