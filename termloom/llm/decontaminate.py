@@ -39,7 +39,8 @@ RANK, OVERSAMPLE, COSINE = 256, 8, 0.72
 SURE, LIKELY, ANSWER, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 0.5, 5, 5
 #: Items and words of a block of the search, at most; share of passages that makes a word common.
 BLOCK_ITEMS, BLOCK_WORDS, COMMON = 2000, 50_000, 0.1
-FEATURES = 1 << 14
+#: Share of passages that makes a word one that the bound takes to be there.
+FEATURES, GIVEN = 1 << 14, 0.05
 _ROWS, _TERM_BLOCK = 4_000_000, 256
 
 
@@ -200,8 +201,15 @@ def _cells(offsets: np.ndarray, length: int, pad: int = 0) -> tuple[np.ndarray,
 def _distinct(cell: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (cell, identifier) pairs of known words, by cell."""
     known = ids > 0
-    pairs = np.unique(cell[known] * (size + 1) + ids[known])
-    return pairs // (size + 1), pairs % (size + 1)
+    pairs = np.unique(_small(cell[known] * (size + 1) + ids[known])).astype(np.int64)
+    cell = pairs // (size + 1)
+    return cell, pairs - cell * (size + 1)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers of zero or more in the narrowest type that holds them: it sorts much faster."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def group_sums(rows: np.ndarray, which: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -278,7 +286,7 @@ def latent_basis(encoded: DataFrame, words, weights: np.ndarray, rank: int = RAN
                 norm2 = np.add.reduceat(w[term] ** 2, heads)
                 y = group_sums(scaled, term, heads) / norm2[:, None].astype(np.float32)  # both factors of the norm
                 row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(cell))))
-                order = np.argsort(term, kind="stable")
+                order = np.argsort(_small(term), kind="stable")
                 t = term[order]
                 th = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
                 total[t[th]] += group_sums(y, row[order], th) * w[t[th], None]
@@ -369,22 +377,26 @@ def verdict(item: Pattern, answer: Pattern, near: np.ndarray, sure: float, likel
     return None
 
 
-def word_needs(items: list[np.ndarray], size: int, least: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def word_needs(items: list[np.ndarray], common: np.ndarray, least: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """What any text must hold, in any order, that has ``least`` of an item: (reach, items, how
     often each has a word, words needed) by the items' reach, the cells (of ``STRIDE`` words)
-    that may belong to them on either side of a passage; reaches are rounded up in pairs."""
+    that may belong to them on either side of a passage; reaches are rounded up in pairs.
+    ``common`` marks words taken to be there: an item needs so many fewer of the others, and
+    only where that leaves it too few are its common words counted like any."""
     need = np.array([int(np.ceil(least * len(w) - 1e-9)) for w in items], np.int64)
+    rest = need - np.array([common[w].sum() for w in items], np.int64)
+    given = rest >= np.maximum(4, 0.3 * need)
     reach = -(-np.array([len(w) for w in items], np.int64) // STRIDE)
     reach += reach % 2
     out = []
-    for r in np.unique(reach).tolist():
-        mine = np.flatnonzero(reach == r)
+    for r, without in sorted({(int(r), bool(g)) for r, g in zip(reach, given, strict=True)}):
+        mine = np.flatnonzero((reach == r) & (given == without))
         # no sum exceeds an item's length
-        times = np.zeros((size + 1, len(mine)), np.int8 if r * STRIDE < 128 else np.int32)
+        times = np.zeros((len(common), len(mine)), np.int8 if r * STRIDE < 128 else np.int32)
         for column, k in enumerate(mine.tolist()):
             words, counts = np.unique(items[k], return_counts=True)
-            times[words, column] = counts
-        out.append((r, mine, times, need[mine]))
+            times[words, column] = np.where(common[words] & without, 0, counts)
+        out.append((r, mine, times, rest[mine] if without else need[mine]))
     return out
 
 
@@ -392,8 +404,8 @@ def possible(words: np.ndarray, cell: np.ndarray, first: np.ndarray, needs: list
     """(cell, item) wherever the surroundings of the passage that begins there hold enough
     words of the item, a word that stands there counting as often as the item has it.
     ``first``: each text's first cell."""
-    text = np.searchsorted(first, cell, "right") - 1
-    order = np.lexsort((cell, words, text))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[cell]
+    order = np.argsort(_small(text * (int(words.max(initial=0)) + 1) + words), kind="stable")  # cells ascend already
     words, cell, text = words[order], cell[order], text[order]
     again = np.zeros(len(words), bool)
     again[1:] = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
@@ -402,10 +414,10 @@ def possible(words: np.ndarray, cell: np.ndarray, first: np.ndarray, needs: list
         # the word is within reach of the passages from begin to stop, left out where it is already
         begin, stop = np.maximum(low, cell - reach - 1), np.minimum(high, cell + reach) + 1
         begin[again] = np.maximum(begin[again], stop[np.flatnonzero(again) - 1])
-        some = np.flatnonzero(begin < stop)
+        some = np.flatnonzero((begin < stop) & times.any(axis=1)[words])
         counts = np.zeros((int(first[-1]) + 1, len(items)), times.dtype)
         for sign, at in ((1, begin[some]), (-1, stop[some])):
-            order = np.argsort(at, kind="stable")
+            order = np.argsort(_small(at), kind="stable")
             at = at[order]
             heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
             counts[at[heads]] += sign * group_sums(times, words[some[order]], heads)
@@ -414,8 +426,9 @@ def possible(words: np.ndarray, cell: np.ndarray, first: np.ndarray, needs: list
     return np.concatenate(out)
 
 
-def search(encoded: DataFrame, words, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float, sure: float, likely: float) -> DataFrame:
-    """``(uid, item_ids, coverage)`` of every row in which an item of the block is found."""
+def search(encoded: DataFrame, words, items: Items, weights: np.ndarray, basis: np.ndarray, common: np.ndarray, cosine: float, sure: float, likely: float) -> DataFrame:
+    """``(uid, item_ids, coverage)`` of every row in which an item of the block is found.
+    ``common`` marks identifiers that very many passages have."""
     spark, fold = encoded.sparkSession, words.value.features
     rows = np.vstack([np.zeros((1, basis.shape[1])), basis * weights[1:, None]]).astype(np.float32)
     of, parts = item_passages(items.words)
@@ -425,7 +438,7 @@ def search(encoded: DataFrame, words, items: Items, weights: np.ndarray, basis:
     queries = (queries / limits[:, None]).astype(np.float32) if parts else queries
     own = np.unique(np.concatenate([np.zeros(0, np.int32), *items.words]))  # the block's own words, numbered from 1
     local = [np.searchsorted(own, w) + 1 for w in items.words]
-    needs = word_needs(local, len(own), min(sure, likely))
+    needs = word_needs(local, np.concatenate(([False], common[own])), min(sure, likely))
     shared = spark.sparkContext.broadcast((rows, queries, of, own, needs, items))  # bounded by FEATURES and the block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,9 +531,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     df, passages = document_frequencies(encoded, words)
     weights = weights_of(df, passages, [fold[w] for b in items for w in b.words])
     basis = latent_basis(encoded, words, weights) if len(df) and passages else np.zeros((len(df), 1))
+    common = np.concatenate(([False], df > GIVEN * passages))[fold]
     found = None
     for b in items:
-        some = search(encoded, words, b, weights, basis, cosine, sure, likely)
+        some = search(encoded, words, b, weights, basis, common, cosine, sure, likely)
         found = some if found is None else found.unionByName(some)
     rows = encoded.select("uid", F.col("id").alias(id_col))
     if found is None:
