@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.joins import join_spread
-from termloom.session import release, staged, staged_so_far
+from termloom.session import release, staged_so_far, staged_with
 
 
 def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """(edges with ``m``, the least neighbour of ``a``; the least neighbours). The edges of a
     hub are not brought together: its least neighbour is sent to them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    return join_spread(edges, least, "a", total), least
+    grouped = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least, seen = staged_with(grouped, "least", most=F.max("n"))
+    return join_spread(edges, least, "a", total, most=seen["most"] or 0), least
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -39,16 +40,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     suffice.
     """
     spark = edges.sparkSession
-    now = staged(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    total, seen = now.count(), None
+    measures = {"rows": F.count("*"), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, mark = staged_with(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", **measures)
+    seen = None
     for _ in range(max_rounds):
         for star in (_large_star, _small_star):
-            mark = staged_so_far() - 1
-            now = staged(star(now, total), "edges")
-            release(spark, mark, keep=1)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+            since = staged_so_far() - 1
+            now, mark = staged_with(star(now, mark["rows"]), "edges", **measures)
+            release(spark, since, keep=1)  # the edges before and their least neighbours
+        if mark == seen or not mark["rows"]:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-        total, seen = mark[0], mark
+        seen = mark
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

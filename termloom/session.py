@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used only on a local master (unit tests, a laptop) that names no shared folder.
 FALLBACK_SHARED_DIR = "/tmp/checkpoints/termloom"
@@ -39,6 +39,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``staged``, and aggregates over the rows written, taken by the writing tasks on their way
+    (no job of their own)."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get or out.agg(*[c.alias(k) for k, c in measures.items()]).first().asDict()
+
+
 def staged_so_far() -> int:
     """A mark for ``release``."""
     return len(_STAGED)
