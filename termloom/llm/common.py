@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once by the vectorised kernels; bounds a worker's memory.
 CHUNK_BYTES = 3 << 20
+#: Text bytes hashed at once: what that needs stays in a core's cache.
+HASH_BYTES = 1 << 18
 #: Rows in an Arrow batch, unless the session sets its own number.
 BATCH_ROWS = 2000
 
@@ -114,7 +116,7 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, "right")))
             lo, hi = int(starts[i]), int(ends[j - 1])
             up, down = _BYTE_POWERS[kind].get(hi - lo + 1)
             sums = np.empty(hi - lo + 1, np.uint64)
