@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import word_count
 from termloom.operators.joins import join_spread
-from termloom.session import staged
+from termloom.session import staged, staged_with
 
 WEIGHTS, MOST_REPEATS, BLOCK_WORDS = (5, 2, 1), 3, 512
 #: Rows of a source whose shuffled order is summed together, about; the least number of
@@ -88,13 +88,19 @@ def plan(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def schedule(planned: DataFrame) -> DataFrame:
+def facts(planned: DataFrame) -> dict:
+    """Totals and maxima over the sources of a plan."""
+    return planned.agg(F.sum("slots").alias("slots"), F.max("slots").alias("most_slots")).first().asDict()
+
+
+def schedule(planned: DataFrame, known: dict | None = None) -> DataFrame:
     """``(slot, sid, rank)``: which source each slot takes and the slot's rank in it.
 
     Ranks beyond a source's need are left out; the few that the points miss are
     appended as closing slots."""
     spark = planned.sparkSession
-    total = planned.agg(F.sum("slots")).first()[0] or 0
+    known = known or facts(planned)
+    total = known["slots"] or 0
     if total == 0:
         return spark.createDataFrame([], "slot long, sid int, rank long")
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,18 +121,17 @@ def schedule(planned: DataFrame) -> DataFrame:
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
     need = planned.select("sid", "slots").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     closing = need.filter("slots > got").select("sid", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank")).select(F.lit(total).cast("long").alias("slot"), "sid", "rank")
-    kept = join_spread(ranked, planned.select("sid", "slots", F.col("slots").alias("n")), "sid", total).filter("rank < slots").select("slot", "sid", "rank")
+    kept = join_spread(ranked, planned.select("sid", "slots", F.col("slots").alias("n")), "sid", total, most=known["most_slots"]).filter("rank < slots").select("slot", "sid", "rank")
     return kept.unionByName(closing)
 
 
-def laid_out(docs: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
+def laid_out(docs: DataFrame, planned: DataFrame, known: dict, seed: int = 0) -> DataFrame:
     """``(sid, source, base, extra, uid, doc, size, at)``: each row's first word in its source's
     shuffled order. Rows alike in id and text may stand in either order. ``docs`` and
     ``planned`` name a source by ``key``."""
     h = F.xxhash64("doc", "row", F.lit(seed))
-    known = planned.select("key", "sid", "source", "base", "extra", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.col("rows").alias("n"))
-    total = planned.agg(F.sum("rows")).first()[0] or 0
-    placed = join_spread(docs.drop("source"), known, "key", total).select("sid", "source", "base", "extra", "uid", "doc", "row", "size", h.alias("h"), F.pmod(F.shiftright(h, 20), "buckets").alias("bucket"))
+    named = planned.select("key", "sid", "source", "base", "extra", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.col("rows").alias("n"))
+    placed = join_spread(docs.drop("source"), named, "key", known["rows"] or 0, most=known["most_rows"] or 0).select("sid", "source", "base", "extra", "uid", "doc", "row", "size", h.alias("h"), F.pmod(F.shiftright(h, 20), "buckets").alias("bucket"))
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -147,23 +152,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("row"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     sized = staged(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", key), "sizes")
-    sources = staged(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "sources")
-    planned = staged(plan(sources, block_words), "plan")
-    total = planned.agg(F.sum("slots")).first()[0] or 0
-    slots = join_spread(schedule(planned), planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need"), F.col("slots").alias("n")), "sid", total)
+    # totals over the sources are taken while they are written
+    sources, every = staged_with(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "sources", rows=F.sum("rows"), most_rows=F.max("rows"))
+    planned, known = staged_with(plan(sources, block_words), "plan", slots=F.sum("slots"), most_slots=F.max("slots"), rows=F.sum("rows"), most_rows=F.max("rows"))
+    total = known["slots"] or 0
+    slots = join_spread(schedule(planned, known), planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need"), F.col("slots").alias("n")), "sid", total, most=known["most_slots"] or 0)
     block = F.pmod("rank", "blocks")
     lo = _block_start(F.col("block"))
     hi = F.when((F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0), F.col("rest")).otherwise(_block_start(F.col("block") + 1))
     filled = slots.withColumn("block", block).select("slot", "sid", "rank", "block", lo.alias("lo"), hi.alias("hi"))
     pieces = (
-        laid_out(sized.filter("size > 0"), planned, seed)
+        laid_out(sized.filter("size > 0"), planned, known, seed)
         .withColumn("block", F.explode(F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))))
         .select("sid", "block", "source", "uid", "doc", "size", "at")
     )
     start, stop = F.greatest("lo", "at"), F.least("hi", F.col("at") + F.col("size"))
     mixed = filled.join(pieces, ["sid", "block"]).filter(start < stop).select("slot", "rank", "source", F.col("doc").alias(id_col), "uid", (start - F.col("at")).alias("start"), (stop - start).alias("n_words"))
     named = sources.select("key", "source_size", "target", F.col("rows").alias("n"))
-    documents = join_spread(sized, named, "key", sized.count()).select("uid", F.col("doc").alias(id_col), "source", "size", "source_size", "target")
+    documents = join_spread(sized, named, "key", every["rows"] or 0, most=every["most_rows"] or 0).select("uid", F.col("doc").alias(id_col), "source", "size", "source_size", "target")
     return mixed, documents
 
 

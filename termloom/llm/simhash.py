@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import as_int64, small_batches
 from termloom.operators.components import connected_components
 from termloom.operators.joins import join_spread
-from termloom.session import spread, staged
+from termloom.session import spread, staged, staged_with
 
 SHINGLE, TAU, SEGMENTS, SEED = 3, 3, 7, 42
 #: Fingerprints of one key that a task compares at once; larger keys are cut.
@@ -114,7 +114,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def link_edges(distinct: DataFrame, segments: int = SEGMENTS, tau: int = TAU, block: int = BLOCK) -> DataFrame:
+def link_edges(distinct: DataFrame, segments: int = SEGMENTS, tau: int = TAU, block: int = BLOCK, count: int | None = None) -> DataFrame:
     """Edges (a, b) between representatives ``rep`` of distinct fingerprints ``fp`` that
     keep every link's two ends connected.
 
@@ -123,20 +123,28 @@ def link_edges(distinct: DataFrame, segments: int = SEGMENTS, tau: int = TAU, bl
     ring = probes(segments, tau)
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("probe"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for i, (_, m) in enumerate(ring)])
     rows = distinct.select("fp", "rep", F.explode(keys).alias("k")).select("k.probe", "k.key", "fp", "rep")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("held", F.col("n"))
+    shared, seen = staged_with(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("held", F.col("n")), "shared-keys", most=F.max("n"))
+    largest, total = seen["most"] or 0, len(ring) * (distinct.count() if count is None else count)
     # a key of very many fingerprints is not brought together before it is cut
-    met = staged(join_spread(rows, shared, "key", len(ring) * distinct.count()), "probed")
+    met = join_spread(rows, shared, "key", total, most=largest)
     zero = F.lit(0).cast("long")
     plain = met.filter(F.col("held") <= block).select("key", "probe", zero.alias("p"), zero.alias("q"), "fp", "rep")
+    if largest <= block:
+        return _compared(plain, ring, segments, tau)
     open_bits = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)) for x in refinements(m, tau)]) for _, m in ring]), F.col("probe").cast("int") + 1)
     finer = F.transform(open_bits, lambda m, i: F.xxhash64("key", i, F.col("fp").bitwiseAND(m)))
     refined = met.filter(F.col("held") > block).select("probe", F.explode(finer).alias("key"), "fp", "rep")
-    many = refined.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / block))
-    dealt = join_spread(refined, many, "key", len(ring) * (tau + 1) * distinct.count()).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts"))
+    many = staged(refined.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cuts", F.ceil(F.col("n") / block)), "refined-keys")
+    dealt = join_spread(refined, many, "key", (tau + 1) * total).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(
         "key", "probe", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp", "rep"
     )
-    groups = plain.unionByName(paired).groupBy("key", "probe", "p", "q").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).filter(F.size("rows") > 1)
+    return _compared(plain.unionByName(paired), ring, segments, tau)
+
+
+def _compared(rows: DataFrame, ring: list[tuple[int, int]], segments: int, tau: int) -> DataFrame:
+    """The links within each group (key, probe, p, q) of rows (fp, rep), as stars."""
+    groups = rows.groupBy("key", "probe", "p", "q").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).filter(F.size("rows") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,17 +168,17 @@ def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     table = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     each = staged(fingerprints(table, shingle), "fingerprints")
-    distinct = staged(each.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
+    distinct, seen = staged_with(each.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints", rows=F.count("*"), total=F.sum("n"), most=F.max("n"))
     # several null ids share one key and must stay apart as nodes: their fingerprint tells them apart
     nodes = distinct.select("fp", "n", F.struct("rep", "fp").alias("node"))
-    found = link_edges(distinct.select("fp", F.col("fp").alias("rep")), segments, tau)
+    found = link_edges(distinct.select("fp", F.col("fp").alias("rep")), segments, tau, count=seen["rows"])
     ends = nodes.select(F.col("fp").alias("a"), F.col("node").alias("na"))
     other = nodes.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
     edges = staged(found.distinct(), "links").join(ends, "a").join(other, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     parts = connected_components(edges)
     named = nodes.join(parts, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("head"))
     # rows of a fingerprint that a large share of all rows has stay where they are
-    return join_spread(each, named, "fp", each.count()).select("doc", "row", "fp", "head")
+    return join_spread(each, named, "fp", seen["total"] or 0, most=seen["most"] or 0).select("doc", "row", "fp", "head")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, segments: int = SEGMENTS, tau: int = TAU) -> DataFrame:
