@@ -27,6 +27,8 @@ from termloom.llm.common import crc_fold, mix, small_batches, text_chunks
 from termloom.session import spread
 
 ORDER, MAX_DOCS, BITS, UNKNOWN_LANGUAGE = 5, 2000, 12, "und"
+#: Characters of a language, and documents of all languages together, that a fit uses at most (about).
+MAX_CHARS, MAX_TOTAL = 20_000_000, 60_000
 #: Characters scored at once; nats of slack on calibration, fixed and by the root of the length.
 CHUNK, SLACK, SHORT = 400_000, 1.0, 6.0
 _SPACE, _STEPS = 0x20, 1_000_000
@@ -262,21 +264,19 @@ def _wide_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", usable: Column | None = None, max_docs: int = MAX_DOCS) -> Model | None:
     """Fit on the rows of ``docs`` that ``usable`` keeps and whose label is not null; None
     if there is none. About ``max_docs`` rows of each language are used (all of those of
-    a smaller one)."""
+    a smaller one), fewer where they are very long or the languages very many."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"), (usable if usable is not None else F.lit(True)).alias("usable")).filter("usable AND label IS NOT NULL")
     # rows of a repeated or missing id are drawn each by itself
     key = F.coalesce(F.col("id"), F.lit("")), F.xxhash64("text")
     draw = F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(_STEPS))
-    sizes = rows.groupBy("label").count().collect()  # one row for each language
+    sizes = rows.groupBy("label").agg(F.count("*"), F.sum(F.length("text"))).collect()  # one row for each language
     if not sizes:
         return None
-    limit = F.create_map(*[F.lit(x) for label, n in sizes for x in (label, max(1, int(_STEPS * min(1.0, max_docs / n))))])
+    most = min(max_docs, max(1, MAX_TOTAL // len(sizes)))
+    limit = F.create_map(*[F.lit(x) for label, n, chars in sizes for x in (label, max(1, int(_STEPS * min(1.0, most / n, MAX_CHARS / max(1, chars or 0)))))])
     chosen = rows.filter(draw < limit[F.col("label")])
     calibrating = F.pmod(F.xxhash64(*key, F.lit(12)), F.lit(5)) == 0
-    # a language whose few rows would all calibrate is fitted on them as well
-    fitted = {r[0] for r in chosen.filter(~calibrating).filter(F.col("text").rlike(r"\p{L}")).select("label").distinct().collect()}
-    fitting = ~calibrating | ~F.col("label").isin(*fitted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,8 +286,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 high, low, n = _wide_grams(mine.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(high), pa.array(low), pa.array(n)], names=["label", "high", "low", "n"])
 
-    wide = chosen.filter(fitting).select("label", "text").mapInArrow(count, "label string, high long, low long, n long").groupBy("label", "high", "low").agg(F.sum("n").alias("n"))
-    got = wide.toArrow()  # bounded by the sample
+    def counted(rows: DataFrame) -> pa.Table:
+        return rows.select("label", "text").mapInArrow(count, "label string, high long, low long, n long").groupBy("label", "high", "low").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+
+    got = counted(chosen.filter(~calibrating))
+    # a language whose few rows would all calibrate is fitted on them as well
+    missing = sorted({r[0] for r in sizes} - set(got.column("label").unique().to_pylist()))
+    if missing:
+        got = pa.concat_tables([got, counted(chosen.filter(F.col("label").isin(*missing)))])
     if not got.num_rows:
         return None
     label = np.array(got.column("label").to_pylist(), object)
