@@ -156,13 +156,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources, every = staged_with(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most), "sources", rows=F.sum("rows"), most_rows=F.max("rows"))
     planned, known = staged_with(plan(sources, block_words), "plan", slots=F.sum("slots"), most_slots=F.max("slots"), rows=F.sum("rows"), most_rows=F.max("rows"))
     total = known["slots"] or 0
-    slots = join_spread(schedule(planned, known), planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need"), F.col("slots").alias("n")), "sid", total, most=known["most_slots"] or 0)
+    # schedule and layout are written, so that each plan stays small
+    slots = join_spread(staged(schedule(planned, known), "slots"), planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need"), F.col("slots").alias("n")), "sid", total, most=known["most_slots"] or 0)
     block = F.pmod("rank", "blocks")
     lo = _block_start(F.col("block"))
     hi = F.when((F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0), F.col("rest")).otherwise(_block_start(F.col("block") + 1))
     filled = slots.withColumn("block", block).select("slot", "sid", "rank", "block", lo.alias("lo"), hi.alias("hi"))
     pieces = (
-        laid_out(sized.filter("size > 0"), planned, known, seed)
+        staged(laid_out(sized.filter("size > 0"), planned, known, seed), "layout")
         .withColumn("block", F.explode(F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))))
         .select("sid", "block", "source", "uid", "doc", "size", "at")
     )
