@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import small_batches
 from termloom.session import spread
 
-CHUNK, OVERLAP, LIMIT = 4096, 512, 512
+CHUNK, OVERLAP, LIMIT = 4096, 128, 512
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A place where a blank follows a non-blank.
 _STABLE = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])")
