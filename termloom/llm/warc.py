@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import small_batches
 from termloom.operators.joins import join_spread
-from termloom.session import fresh_path
+from termloom.session import fresh_path, staged
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads shorter than this are never replaced by a revisit.
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     table = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = table.filter(F.octet_length("payload") >= shortest)
     small = table.filter(F.octet_length("payload") < shortest).withColumn("first", F.lit(None).cast("long"))
-    firsts = large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = staged(large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated-payloads")
     # a payload of very many pages is not brought together: its first page is sent to them
     full = join_spread(large, firsts, "digest", pages.count(), how="left").unionByName(small)
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
