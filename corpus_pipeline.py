@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import decontaminate, language_id, mixing, simhash, substring_dedup
-from termloom.session import release, staged, staged_so_far
+from termloom.session import release, staged, staged_so_far, tidy
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NULL_LAST = (1 << 63) - 1
@@ -20,6 +20,8 @@ ORACLE_SQL = None
 
 
 def _documents(docs: DataFrame) -> DataFrame:
+    """The columns a stage works on; what the stage before it left behind is cleaned up."""
+    tidy(docs.sparkSession)
     return docs.select(*COLUMNS)
 
 

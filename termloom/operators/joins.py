@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Keys that may be broadcast: a key counts as hot above this share of all rows.
 HOT_KEYS = 10_000
 #: A key with so few rows is never hot.
-LEAST_HOT = 128
+LEAST_HOT = 256
 
 
 def join_spread(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner", weight: str = "n", most: int | None = None) -> DataFrame:

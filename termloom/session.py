@@ -60,6 +60,13 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     del _STAGED[since:stop]
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then does Spark's cleaner drop the shuffles and
+    broadcasts of tables that nothing refers to any more, here and on the executors."""
+    spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
