@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import re
 import zlib
 from fractions import Fraction
 from itertools import accumulate
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -138,6 +141,25 @@ def test_token_counts_agree_with_the_library():
     assert not other.splits and other.counts(["Hello  World" * 900]) == [(other.whole("Hello  World" * 900), 1)]
 
 
+def test_token_offsets_are_sums_of_lengths():
+    """Chunks are spliced without the library's offsets, which the lengths give as well."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    c = token_counts.Counter(path)
+    s = "".join(f" na\u00efve {i} \u65e5\u672c\U0001f600<|endoftext|>it's\u200b\t{'x' * (i % 9)}\x00\n" for i in range(400))
+    whole = c.tokenizer.encode(s, add_special_tokens=False)
+    at = np.cumsum([0] + [c.lengths[i] for i in whole.ids])
+    byte = np.cumsum([0] + [len(x.encode()) for x in s])  # by character; one of several tokens has the offsets of them all
+    assert at[-1] == byte[-1]
+    assert all(byte[a] <= p and q <= byte[b] for (a, b), p, q in zip(whole.offsets, at[:-1], at[1:], strict=True))
+    c.tokenizer = SimpleNamespace(encode_batch_fast=c.tokenizer.encode_batch_fast)
+    count, chunks = c.counts([s])[0]
+    assert count == len(whole) and chunks > 1
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    assert token_counts.Counter.proven(spec)
+    del spec["model"]["vocab"]["\u00fe"]  # a byte is lost where the vocabulary lacks it
+    assert not token_counts.Counter.proven(spec)
+
+
 def test_token_counts_of_documents(spark, documents):
     """Whole texts against the library; the longer ones are spliced."""
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
