@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 from itertools import accumulate
@@ -220,6 +221,29 @@ def test_schedule_is_low_discrepancy(spark):
         assert max(abs(c - (k + 1) * n / 1000) for k, c in enumerate(run)) < 6
 
 
+def test_group_sums():
+    """Each group is added up in its own order, in little room beside the result."""
+    rng = np.random.default_rng(3)
+    for width, kind in ((256, np.float32), (3, np.int8), (200_000, np.int8)):
+        rows = rng.normal(size=(50, width)).astype(kind)
+        counts = np.append(rng.integers(1, 9, 6000 if width < 1000 else 5), 300)
+        heads = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        which = rng.integers(0, 50, counts.sum())
+        tracemalloc.start()
+        got = decontaminate.group_sums(rows, which, heads)
+        peak = tracemalloc.get_traced_memory()[1] - got.nbytes
+        tracemalloc.stop()
+        assert got.dtype == rows.dtype
+        for g, a, n in zip(got, heads.tolist(), counts.tolist(), strict=True):
+            want = rows[which[a]].copy()
+            for k in which[a + 1 : a + n].tolist():
+                want += rows[k]
+            assert (g == want).all()
+        assert peak < (1 << 19) + 4 * which.nbytes + 4 * rows[0].nbytes
+    none = np.zeros(0, np.int64)
+    assert decontaminate.group_sums(rows, none, none).shape == (0, rows.shape[1])
+
+
 def test_decontamination_finds_planted_and_spares_clean(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 6)))
