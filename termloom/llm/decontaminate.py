@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import hash_words, mix, small_batches, text_chunks, word_bounds
 from termloom.llm.language_id import HashedRows
-from termloom.session import shuffle_partitions, spread, staged
+from termloom.session import shuffle_partitions, spread, staged, tidy
 
 PASSAGE, STRIDE = 32, 16
 #: ``COSINE`` is asked of a passage that holds as much else as an item of its length must bear.
@@ -542,6 +542,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     weights = weights_of(df, passages, [fold[w] for b in items for w in b.words])
     basis = latent_basis(encoded, words, weights) if len(df) and passages else np.zeros((len(df), 1))
     common = np.concatenate(([False], df > GIVEN * passages))[fold]
+    tidy(spark)  # of the sketch's jobs
     found = None
     for b in items:
         some = search(encoded, words, b, weights, basis, common, cosine, sure, likely)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import word_count
 from termloom.operators.joins import join_spread
-from termloom.session import staged, staged_with
+from termloom.session import staged, staged_with, tidy
 
 WEIGHTS, MOST_REPEATS, BLOCK_WORDS = (5, 2, 1), 3, 512
 #: Rows of a source whose shuffled order is summed together, about; the least number of
@@ -158,6 +158,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = known["slots"] or 0
     # schedule and layout are written, so that each plan stays small
     slots = join_spread(staged(schedule(planned, known), "slots"), planned.select("sid", "blocks", "base", "extra", "rest", F.col("slots").alias("need"), F.col("slots").alias("n")), "sid", total, most=known["most_slots"] or 0)
+    tidy(docs.sparkSession)  # of the schedule's plan
     block = F.pmod("rank", "blocks")
     lo = _block_start(F.col("block"))
     hi = F.when((F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0), F.col("rest")).otherwise(_block_start(F.col("block") + 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -38,3 +40,25 @@ def test_rows_of_one_split_are_spread(spark, tmp_path):
     many = session.spread(one)
     assert many.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.count() == 1000
     assert session.spread(spark.range(0, 10, 1, 64)).rdd.getNumPartitions() == 64
+
+
+def test_tidy_gives_native_memory_back(spark):
+    jvm = spark._jvm
+    java = jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(re.search(r"Anonymous:\s+(\d+)", Path(f"/proc/{java}/smaps_rollup").read_text())[1]) / 1024
+    if not session.trim_native(spark):
+        pytest.skip("this JVM has no command for it")
+    made = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # each holds some 200 KB outside the heap
+    for x in made:
+        x.setInput(bytearray(b"some text"))
+        x.finish()
+        x.deflate(bytearray(64))
+    for x in made[:-1]:  # the last one keeps what lies below it from being given back by itself
+        x.end()
+    for _ in range(2):
+        jvm.System.gc()
+    before = resident()
+    session.tidy(spark)
+    after = resident()
+    made[-1].end()
+    assert after < before - 50
